@@ -29,7 +29,7 @@ def test_matches_brute_force(spark):
             at = rng.randrange(len(w) + 1)
             w[at:at] = p[a : a + rng.randrange(5, 30)]
         docs.append((k, rng.choice((" ", "!", "\n")).join(w)))
-    docs += [(500, None), (501, ""), (502, docs[0][1]), (0, docs[0][1]), (None, docs[3][1]), (503, " ".join(x[1] or "" for x in items) * 20)]
+    docs += [(500, None), (501, ""), (502, docs[0][1]), (0, docs[0][1]), (0, docs[0][1]), (None, docs[3][1]), (503, " ".join(x[1] or "" for x in items) * 20)]
     expected = decontaminate(docs, items)
     assert result(spark, docs, items) == expected
     assert result(spark, docs, items, block_windows=50) == expected

@@ -179,7 +179,8 @@ def find_contamination(
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
     schema = f"doc_id {id_type}, uid long, n_words long, spans array<struct<start int, end int>>, items array<string>"
     tables = list(_broadcasts(spark, _pattern_blocks(benchmark, item_id_col, item_text_col, window, block_windows)))
     found = [rows.mapInArrow(_scan(t), schema) for t in tables or [spark.sparkContext.broadcast([])]]
@@ -187,11 +188,13 @@ def find_contamination(
     if len(found) > 1:
         for more in found[1:]:
             out = out.union(more)
+        # repeated rows have one key; as many as there were come back
         out = out.groupBy("uid").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+            F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
             F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
+        out = out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), (F.col("n") / len(found)).cast("int")))).drop("n", "copy")
         out = out.withColumn("spans", F.expr(_MERGE))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.drop("uid").withColumn("n_hit", covered).withColumn("contaminated", F.col("n_hit") > 0)

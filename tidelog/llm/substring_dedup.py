@@ -7,13 +7,13 @@ there lies whole inside the run. Anchors are hashed only at cover positions; wor
 hold no repeated anchor need nothing more. Around repeated anchors every full window is hashed
 with 96 bits and looked up (the extension).
 
-Plan: the texts are shuffled once by a row number and that exchange serves all three passes.
+Plan: the texts are shuffled once by a hash of id and text and that exchange serves all three passes.
 Copies of a whole text are found by a 128-bit hash first; one copy stands for its group. Each
 task sums equal anchors and windows before the shuffle, so a passage that a third of the
 documents hold arrives as one row for each task and not as one row for each document.
 
 Edge cases: a null or empty text has no words and loses none; ``kept_sha256`` is then the hash of
-the empty string. Equal rows are copies of each other. Windows never cross documents. Documents
+the empty string. Repeated rows are copies of each other. Windows never cross documents. Documents
 shorter than a window lose nothing. Other columns of the input are ignored.
 """
 
@@ -194,11 +194,13 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("uid", F.monotonically_increasing_id()).repartition("uid")
+    hashes = {"t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(7))}
+    # a key of the content and not of the place, so that it is the same each time rows are read
+    rows = rows.withColumns(hashes).withColumn("uid", F.xxhash64("doc_id", "t1", "t2")).repartition("uid")
 
-    named = rows.select("uid", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(7)).alias("t2"))
+    named = rows.select("uid", "t1", "t2")
     groups = named.groupBy("t1", "t2").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = named.join(groups, ["t1", "t2"]).select("uid", (F.col("uid") != F.col("least")).alias("spare"))
+    copies = named.join(groups, ["t1", "t2"]).select("uid", (F.col("uid") != F.col("least")).alias("spare")).distinct()
     rows = rows.join(copies.hint("shuffle_hash"), "uid", "left")
     apart = rows.where("not coalesce(spare, false)")
 
