@@ -196,7 +196,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hashes = {"t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(7))}
     # a key of the content and not of the place, so that it is the same each time rows are read
-    rows = rows.withColumns(hashes).withColumn("uid", F.xxhash64("doc_id", "t1", "t2")).repartition("uid")
+    rows = rows.withColumns(hashes).withColumn("uid", F.shiftrightunsigned(F.xxhash64("doc_id", "t1", "t2"), 1)).repartition("uid")
 
     named = rows.select("uid", "t1", "t2")
     groups = named.groupBy("t1", "t2").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
