@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelog import cli
 from tidelog.errors import Closed, InvalidArgument, SnapshotLost, StoreError
 from tidelog.model import DELETE, PUT, Options
+from tidelog.sources.checked import CheckedStore, Mismatch
 from tidelog.sources.store import KVStore
 from tidelog.streaming.ingest import ingest, latest_state
 
@@ -168,3 +169,33 @@ def test_command_line(spark, tmp_path):
     assert run("flush") == (0, "flushed\n") and run("delete", "hello") == (0, "OK\n")
     assert run("scan", "a", "z") == (0, "a = 1\n")
     assert run("nothing")[0] == 1 and run("put", "a")[0] == 1 and cli.main(["only"], spark, err=io.StringIO()) == 1
+
+
+def test_current_snapshot_can_be_sealed(spark, tmp_path):
+    store = KVStore.open(spark, str(tmp_path), QUIET)
+    store.seal_current()
+    store.write_many([(b"a", PUT, b"1"), (b"b", PUT, b"2"), (b"a", PUT, b"3"), (b"b", DELETE, b"")])
+    current = store.refresh_current()
+    assert sorted((bytes(r["key"]), r["op"]) for r in current.collect()) == [(b"a", PUT), (b"b", DELETE)]
+    store.seal_current()
+    assert store.version.current is None and len(store.version.at_level(1)) == 1
+    assert scanned(store) == [(b"a", b"3")] and scanned(store, as_of=2) == [(b"a", b"1"), (b"b", b"2")]
+    store.compact_level(0)
+    assert scanned(store) == [(b"a", b"3")] and store.version.sizes().keys() == {1}
+
+
+def test_checked_store(spark, tmp_path):
+    checked = CheckedStore(KVStore.open(spark, str(tmp_path), QUIET))
+    checked.put(b"a", b"1")
+    checked.put(b"b", b"2")
+    checked.delete(b"a")
+    checked.delete(b"none")
+    checked.flush()
+    checked.put(b"c", b"3")
+    assert checked.get(b"a") is None and checked.get(b"c") == b"3"
+    assert checked.verify_scan(b"a", b"z") == 2 and checked.verify_scan(b"m", b"n") == 0
+    checked.plain[b"b"] = b"other"
+    with pytest.raises(Mismatch):
+        checked.verify_scan(b"a", b"z")
+    with pytest.raises(Mismatch):
+        checked.get(b"b")

@@ -147,7 +147,11 @@ class KVStore:
         parted = log.repartitionByRange(n, "key") if n else log.repartitionByRange("key")
         writer = parted.sortWithinPartitions(*versions_first()).write
         writer.options(**writer_options(self.options.compression, entries)).mode("error").parquet(path)
-        stats = reads.run_stats(self.spark.read.parquet(path)).first()
+        return self._describe(name, level)
+
+    def _describe(self, name: str, level: int) -> Run:
+        """A written run's size and bounds."""
+        stats = reads.run_stats(self.spark.read.schema(LOG_SCHEMA).parquet(self.folder.uri("runs", name))).first()
         return Run(
             name, level, self.folder.size("runs", name), stats["entries"], stats["tombstones"] or 0, bytes(stats["min_key"] or b""),
             bytes(stats["max_key"] or b""), stats["min_seq"] or 0, stats["max_seq"] or 0,
@@ -208,6 +212,17 @@ class KVStore:
             self.folder.delete("runs", old)
         return self.spark.read.schema(LOG_SCHEMA).parquet(self.folder.uri("runs", name))
 
+    def seal_current(self) -> None:
+        """Make the current-snapshot table a run of level 1. Its entries repeat others, which does no harm."""
+        name = self.version.current
+        if name is None:
+            return
+        edits = [{"edit": "current", "path": None}]
+        table = self.spark.read.schema(LOG_SCHEMA).parquet(self.folder.uri("runs", name))
+        if not table.isEmpty():
+            edits.insert(0, self._describe(name, 1).edit())
+        self._commit(edits)
+
     def maybe_compact(self) -> bool:
         """Compact the level that most needs it, if one does."""
         level = compaction.choose(self.version.sizes())
