@@ -51,6 +51,7 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 THRESHOLD = 0.8
+SALTS = 32
 
 
 class Vocabulary:
@@ -176,7 +177,10 @@ def scan_licenses(
     id_type = rows.schema["doc_id"].dataType.simpleString()
     own = checkpoint(rows.mapInArrow(_match(vocabulary, idf, other, threshold), f"doc_id {id_type}, path string, license string, similarity double, is_file boolean"))
     own = own.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
-    joined = own.join(inherit(own), "dir", "left")
+    # a directory may hold a third of all files: its rows are dealt over SALTS tasks
+    own = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "path", "similarity"), F.lit(SALTS)))
+    known = inherit(own).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = own.join(known, ["dir", "salt"], "left")
     lone = F.col("license").isNull() & F.col("inherited").isNotNull()
     return joined.select(
         "doc_id", "path", F.coalesce("license", "inherited").alias("license"), "similarity", lone.alias("inherited"),
