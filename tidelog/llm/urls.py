@@ -6,7 +6,7 @@ for its canonical URL and one for its host and each domain above it. The filter
 join with the list, which removes false positives. Pages meet the hits by canonical URL, so equal
 URLs are looked up once.
 
-The filter has about 12 bits for each listed URL. It is broadcast if it has at most
+The filter has about 16 bits for each listed URL. It is broadcast if it has at most
 BROADCAST_BLOCKS blocks, else joined by shuffle; the list itself is never broadcast by force.
 
 Edge cases: a null URL, or one without ://, has an empty host and path, fits no rule and no list
@@ -21,7 +21,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS_PER_KEY = 12
+BITS_PER_KEY = 16
+LEAST_BLOCKS = 1024
+SALTS = 32
 BROADCAST_BLOCKS = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,7 +89,7 @@ def bloom_blocks(listed: DataFrame, n_blocks: int, key: str = "key") -> DataFram
 def listed_urls(urls: DataFrame, listed: DataFrame, key: str = "key") -> DataFrame:
     """The values of ``urls.url`` (canonical) that the list holds, whole or by host; distinct."""
     listed = listed.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct()
-    n_blocks = max(1, listed.count() * BITS_PER_KEY // 64)
+    n_blocks = max(LEAST_BLOCKS, listed.count() * BITS_PER_KEY // 64)
     blocks = bloom_blocks(listed, n_blocks)
     if n_blocks <= BROADCAST_BLOCKS:
         blocks = F.broadcast(blocks)
@@ -95,7 +97,11 @@ def listed_urls(urls: DataFrame, listed: DataFrame, key: str = "key") -> DataFra
     probes = probes.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)))
     mask = _mask(F.col("key"))
     possible = probes.join(blocks, "block").where(F.col("bits").bitwiseAND(mask) == mask).select("url", "key")
-    return possible.join(listed.hint("shuffle_hash"), "key", "left_semi").select("url").distinct()
+    # each key meets the list once; a host may have a third of all pages, so these are dealt over SALTS tasks
+    sure = possible.select("key").distinct().join(listed.hint("shuffle_hash"), "key", "left_semi")
+    sure = sure.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    possible = possible.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)))
+    return possible.join(sure, ["key", "salt"], "left_semi").select("url").distinct()
 
 
 def filter_urls(
