@@ -31,6 +31,9 @@ from .words import NOT_SPACE, SPACE, Words, mix, sums, text_slices, window_hashe
 
 #: Difference covers by period; fixed values.
 COVERS = {1: (0,), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
+#: Marks the row by which a task tells others that something repeats; it stands for no text. The
+#: filter is on this and not on uid, else Spark would put it on the texts too and read them anew.
+LEAD = 3
 
 
 def _cover(window: int) -> tuple[int, tuple[int, ...]]:
@@ -78,7 +81,7 @@ def _anchor_rows(window: int):
             yield pa.record_batch(
                 {
                     "pk": _signed(key),
-                    "mult": pa.array(np.concatenate((np.ones(once.sum(), np.int8), np.full(lead.sum() + many.sum(), 2, np.int8)))),
+                    "mult": pa.array(np.concatenate((np.ones(once.sum(), np.int8), np.full(lead.sum(), LEAD, np.int8), np.full(many.sum(), 2, np.int8)))),
                     "uid": pa.array(np.concatenate((uid[once], np.full(lead.sum(), -1), uid[many]))),
                     "anchor": _signed(np.concatenate((value[once], value[lead], value[many]))),
                 }
@@ -136,7 +139,7 @@ def _window_rows(window: int):
                     {
                         "k1": _signed(np.concatenate((k1[once], k1[lead], lone))),
                         "k2": pa.array(np.concatenate((k2[once], k2[lead], -1 - k2[r])).astype(np.int32)),
-                        "mult": pa.array(np.concatenate((np.ones(n1, np.int8), np.full(n2 + n3, 2, np.int8)))),
+                        "mult": pa.array(np.concatenate((np.ones(n1, np.int8), np.full(n2, LEAD, np.int8), np.full(n3, 2, np.int8)))),
                         "uid": pa.array(np.concatenate((uid[once], np.full(n2, -1), uid[r])).astype(np.int64)),
                         "pos": pa.array(np.concatenate((pos[once], np.zeros(n2), pos[r])).astype(np.int32)),
                         "run": pa.array(np.concatenate((np.ones(n1 + n2), length)).astype(np.int32)),
@@ -198,21 +201,23 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     # a key of the content and not of the place, so that it is the same each time rows are read
     rows = rows.withColumns(hashes).withColumn("uid", F.shiftrightunsigned(F.xxhash64("doc_id", "t1", "t2"), 1)).repartition("uid")
 
-    named = rows.select("uid", "t1", "t2")
+    named = rows.select("uid", "t1", "t2")  # an exchange without the texts
+    rows = rows.drop("t1", "t2")
     groups = named.groupBy("t1", "t2").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = named.join(groups, ["t1", "t2"]).select("uid", (F.col("uid") != F.col("least")).alias("spare")).distinct()
     rows = rows.join(copies.hint("shuffle_hash"), "uid", "left")
     apart = rows.where("not coalesce(spare, false)")
 
-    anchors = apart.select("uid", "text").mapInArrow(_anchor_rows(window), "pk long, mult byte, uid long, anchor long")
-    anchors = anchors.withColumn("n", F.sum("mult").over(Window.partitionBy("pk"))).where("n > 1 and uid >= 0")
+    # all three passes ask for the same columns, so that one exchange serves them
+    anchors = apart.select("uid", "doc_id", "text").mapInArrow(_anchor_rows(window), "pk long, mult byte, uid long, anchor long")
+    anchors = anchors.withColumn("n", F.sum("mult").over(Window.partitionBy("pk"))).where(f"n > 1 and mult < {LEAD}")
     lists = anchors.groupBy("uid").agg(F.collect_set("anchor").alias("anchors"))
 
-    held = apart.join(lists.hint("shuffle_hash"), "uid").select("uid", "text", "anchors")
+    held = apart.join(lists.hint("shuffle_hash"), "uid").select("uid", "doc_id", "text", "anchors")
     windows = held.mapInArrow(_window_rows(window), "k1 long, k2 int, mult byte, uid long, pos int, run int")
-    windows = windows.withColumn("n", F.sum("mult").over(Window.partitionBy("k1", "k2"))).where("n > 1 and uid >= 0")
+    windows = windows.withColumn("n", F.sum("mult").over(Window.partitionBy("k1", "k2"))).where(f"n > 1 and mult < {LEAD}")
     dups = windows.groupBy("uid").agg(F.collect_list(F.struct("pos", "run")).alias("dups"))
 
-    final = rows.join(dups.hint("shuffle_hash"), "uid", "left").select("doc_id", "text", F.col("spare").isNotNull().alias("copied"), "dups")
+    final = rows.join(dups.hint("shuffle_hash"), "uid", "left").select("uid", "doc_id", "text", F.col("spare").isNotNull().alias("copied"), "dups")
     schema = f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return final.mapInArrow(_removal(window, with_text), schema)
