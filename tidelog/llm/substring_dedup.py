@@ -34,6 +34,7 @@ COVERS = {1: (0,), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
 #: Marks the row by which a task tells others that something repeats; it stands for no text. The
 #: filter is on this and not on uid, else Spark would put it on the texts too and read them anew.
 LEAD = 3
+SALTS = 32
 
 
 def _cover(window: int) -> tuple[int, tuple[int, ...]]:
@@ -204,7 +205,10 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     named = rows.select("uid", "t1", "t2")  # an exchange without the texts
     rows = rows.drop("t1", "t2")
     groups = named.groupBy("t1", "t2").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = named.join(groups, ["t1", "t2"]).select("uid", (F.col("uid") != F.col("least")).alias("spare")).distinct()
+    # one group may hold a third of all rows: these meet it in SALTS tasks
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = named.withColumn("salt", F.pmod("uid", F.lit(SALTS)))
+    copies = salted.join(groups, ["t1", "t2", "salt"]).select("uid", (F.col("uid") != F.col("least")).alias("spare")).distinct()
     rows = rows.join(copies.hint("shuffle_hash"), "uid", "left")
     apart = rows.where("not coalesce(spare, false)")
 
