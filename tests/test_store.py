@@ -199,3 +199,17 @@ def test_checked_store(spark, tmp_path):
         checked.verify_scan(b"a", b"z")
     with pytest.raises(Mismatch):
         checked.get(b"b")
+
+
+def test_bounds_reach_the_files(spark, tmp_path):
+    store = KVStore.open(spark, str(tmp_path), QUIET)
+    for first in (b"a", b"m"):
+        store.write_many([(first + b"%d" % n, PUT, b"v") for n in range(5)])
+        store.flush()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    df = store.scan(b"a1", b"a3", as_of=9)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThanOrEqual(key" in pushed and "LessThan(key" in pushed and "LessThanOrEqual(seq,9)" in pushed
+    assert len(store.log(b"a1", b"a3").inputFiles()) == 1  # the other run can't hold such keys
+    assert [k for k, _ in scanned(store, b"a1", b"a3")] == [b"a1", b"a2"]
