@@ -35,7 +35,8 @@ def texts(seed, n=150):
 def test_encoder_gives_the_tokenizers_ids(path):
     plain, own = Tokenizer.from_file(path), Encoder(tokenizer_json(path))
     some = [t or "" for t in texts(1)]
-    for got, text in zip(own.encode(some), some):
+    some += ["the &&&x", "a.b,c", "don't,x", "…. a", "é. ö,", "x<|endoftext|>y", "a|b <|endoftext|>", "it's.", "a\nb c.\nd", "x.'s", "a'.s"]
+    for got, text in zip(own.encode([t.encode() for t in some]), some):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 

@@ -104,8 +104,8 @@ def _encode(json: str, end_id: int, planes: str):
 
         waiting = 0
         for batch in batches:
-            for part, texts in text_slices(batch, size=8_000_000):
-                docs = [x + end for x in encode([t.decode() for t in texts])]
+            for part, texts in text_slices(batch):
+                docs = [x + end for x in encode(texts)]
                 at = 0
                 for k, ids in enumerate(docs):
                     held.append(ids)

@@ -87,8 +87,8 @@ def _pieces(json: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, step = encoder(json).encode, 4 * capacity
         for batch in batches:
-            for part, texts in text_slices(batch, size=8_000_000):
-                docs = [x + end for x in encode([t.decode() for t in texts])]
+            for part, texts in text_slices(batch):
+                docs = [x + end for x in encode(texts)]
                 sizes = np.fromiter(map(len, docs), np.int64, len(docs)) // 4
                 n = -(-sizes // capacity)
                 doc = np.repeat(np.arange(len(docs)), n)

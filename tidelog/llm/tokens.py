@@ -1,111 +1,157 @@
-"""Encoding whole texts with a public tokenizer, each distinct run of characters once.
+"""Encoding whole texts with a public tokenizer, each distinct piece of text once.
 
-Pre-tokenizers of these vocabularies never join text across single spaces, nor across the edge of
-a word and the punctuation behind it. So a text is cut there, each distinct cut is encoded once
-for each worker by the tokenizers library, and the ids are joined again. Where a text has runs of
-white space, at which cutting could change the ids, it is cut at safe places only.
+The pre-tokenizers of these vocabularies begin a new token at a single space or line break
+between words, and where ASCII punctuation follows an ASCII letter or digit (apostrophes apart).
+So a text is cut there; each distinct piece is encoded by the tokenizers library once for each
+worker, and the ids are laid together by array operations. Texts for which this isn't certain
+(runs of white space, other white space, special tokens) are given to the library whole.
+
+Pieces are known by 128 bits of hash: 64 choose the table's slot, 64 more must agree.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import re
-from array import array
-from itertools import chain
 
+import numpy as np
 from tokenizers import Tokenizer
 
-FIRST = "\ud800"
-#: Cuts whose ids a worker keeps; beyond that it starts anew.
-CACHE_PIECES, CACHE_CORES = 300_000, 600_000
-#: White space beside white space: there the byte-level pre-tokenizer looks ahead.
-_LOOKS_AHEAD = re.compile(r"\s\s|^ | $")
-_ASCII_RUNS = ("  ", " \n", "\n ", "\n\n")
-_ASCII_OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f]")
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Letters or numbers, then ASCII punctuation but no apostrophe, then the end or one line break:
-#: the pre-tokenizers cut between these.
-_TAIL = re.compile(r"([^\W_]+)([!-&(-/:-@\[-`{-~]+)(?:\n(\S.*))?")
-
+from .words import Words, hash_spans
+
+#: Slots of a worker's table; it starts anew when half of them are used.
+SLOTS = 1 << 22
+_NOT_BREAK = np.ones(256, bool)
+_NOT_BREAK[[0x20, 0x0A]] = False
+_ALNUM_ASCII = np.zeros(256, bool)
+_ALNUM_ASCII[0x30:0x3A] = _ALNUM_ASCII[0x41:0x5B] = _ALNUM_ASCII[0x61:0x7B] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[0x21:0x7F] = ~_ALNUM_ASCII[0x21:0x7F]
+_PUNCTUATION[0x27] = False
+#: White space apart from the space and the line break.
+_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+class _Table:
+    """Ids by hash, in open addressing; -1 marks a free slot."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot = np.full(SLOTS, -1, np.int32)
+        self.key = np.zeros((0, 2), np.uint64)
+        self.begin = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        out = np.full(len(key), -1, np.int32)
+        left = np.arange(len(key))
+        at = (key[:, 0] & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(left):
+            number = self.slot[at]
+            used = number >= 0
+            left, at, number = left[used], at[used], number[used]
+            same = (self.key[number] == key[left]).all(axis=1)
+            out[left[same]] = number[same]
+            left, at = left[~same], (at[~same] + 1) & (SLOTS - 1)
+        return out
 
-def _looks_ahead(text: str) -> bool:
-    if text.isascii():
-        return text[:1] == " " or text[-1:] == " " or any(x in text for x in _ASCII_RUNS) or _ASCII_OTHER.search(text) is not None
-    return _LOOKS_AHEAD.search(text) is not None
+    def add(self, key: np.ndarray, ids: list[list[int]]) -> None:
+        """Add keys that differ from each other and from all before."""
+        first = len(self.key)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.key = np.concatenate((self.key, key))
+        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(sizes)))
+        self.ids = np.concatenate((self.ids, np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum()))))
+        number = np.arange(first, first + len(key), dtype=np.int32)
+        at = (key[:, 0] & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(number):
+            free = np.flatnonzero(self.slot[at] < 0)
+            where, one = np.unique(at[free], return_index=True)
+            self.slot[where] = number[free[one]]
+            left = np.ones(len(number), bool)
+            left[free[one]] = False
+            number, at = number[left], (at[left] + 1) & (SLOTS - 1)
 
 
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit numbers in bytes.
-
-    Cuts are kept without the space before them, which the byte-level kind encodes with the cut;
-    the first cut of a text, which has none, is marked by a leading lone surrogate, which no text holds.
-    """
+    """Ids of texts, as little-endian unsigned 32-bit numbers in bytes."""
 
     def __init__(self, json: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(json)
         if special_as_text:
             self.tokenizer.encode_special_tokens = True
-        self.joins_space = str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(")
-        # tokens with a space in them, or that take the space beside them, would cross a cut
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.whole = any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)
-        self.pieces: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _cuts(self, text: str) -> list[str]:
-        if self.whole:
-            return [FIRST + text]
-        if not self.joins_space:
-            return text.replace("\n", " ").split(" ")
-        cuts = _SAFE_CUT.split(text) if _looks_ahead(text) else text.split(" ")
-        cuts[0] = FIRST + cuts[0]
-        return cuts
-
-    def _smaller(self, cut: str) -> list[str]:
-        """The strings whose ids, one after the other, are those of the cut."""
-        if cut[:1] == FIRST:
-            return [cut[1:]]
-        space, out = " " if self.joins_space else "", []
-        while m := _TAIL.fullmatch(cut):
-            out += space + m[1], m[2]
-            if m[3] is None:
-                return out
-            out.append("\n")
-            cut, space = m[3], ""
-        out.append(space + cut)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.table = _Table()
+
+    def _plain(self, text: str) -> bool:
+        """Whether the text may be cut."""
+        if self.special is not None and self.special.search(text):
+            return False
+        if not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+            return False
+        return _OTHER_SPACE.search(text) is None
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text (UTF-8)."""
+        strings = [t.decode() for t in texts]
+        plain = [self._plain(s) for s in strings]
+        out: list[bytes | None] = [None] * len(texts)
+        other = [k for k, p in enumerate(plain) if not p]
+        for k, e in zip(other, self.tokenizer.encode_batch_fast([strings[k] for k in other], add_special_tokens=False)):
+            out[k] = np.array(e.ids, "<u4").tobytes()
+        if len(other) < len(texts):
+            cut = self._encode_cut([t for t, p in zip(texts, plain) if p])
+            for k, ids in zip((k for k, p in enumerate(plain) if p), cut):
+                out[k] = ids
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        gc.disable()  # many small objects, no cycles
-        try:
-            parts = [self._cuts(t) for t in texts]
-            if len(self.pieces) > CACHE_PIECES:
-                self.pieces.clear()
-            if len(self.cores) > CACHE_CORES:
-                self.cores.clear()
-            pieces, cores = self.pieces, self.cores
-            unknown = list(set().union(*parts) - pieces.keys())
-            smaller = list(map(self._smaller, unknown))
-            new = list(set(chain.from_iterable(smaller)) - cores.keys())
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                for core, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    cores[core] = array("I", e.ids).tobytes()
-            get = cores.__getitem__
-            pieces.update(zip(unknown, [b"".join(map(get, s)) for s in smaller]))
-            get = pieces.__getitem__
-            return [b"".join(map(get, p)) for p in parts]
-        finally:
-            gc.enable()
+    def _encode_cut(self, texts: list[bytes]) -> list[bytes]:
+        words = Words(texts, _NOT_BREAK, lower=False)
+        data = words.data
+        tail = np.flatnonzero(_PUNCTUATION[data[1:]] & _ALNUM_ASCII[data[:-1]]) + 1
+        # a piece takes the one space or line break before it along, but for a text's first
+        begin = words.start - 1
+        begin[words.first[:-1]] += 1
+        begin = np.concatenate((begin, tail))
+        order = np.argsort(begin, kind="stable")
+        begin = begin[order]
+        # each piece ends where the next begins or where its word ends
+        word_end = np.concatenate((words.end, words.end[np.searchsorted(words.start, tail, "right") - 1]))[order]
+        end = np.minimum(word_end, np.append(begin[1:], len(data)))
+        first = np.searchsorted(begin, words.text_start)
+        key = np.stack(hash_spans(data, begin, end), axis=1)
+        table = self.table
+        if len(table.key) > SLOTS // 2:
+            table.clear()
+        number = table.find(key)
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            _, one = np.unique(key[unknown, 0], return_index=True)
+            new = unknown[one]
+            raw = data.tobytes()
+            strings = [raw[a:b].decode() for a, b in zip(begin[new].tolist(), end[new].tolist())]
+            ids = []
+            for at in range(0, len(strings), 20_000):
+                ids += [e.ids for e in self.tokenizer.encode_batch_fast(strings[at : at + 20_000], add_special_tokens=False)]
+            table.add(key[new], ids)
+            number[unknown] = table.find(key[unknown])
+        size = table.begin[number + 1] - table.begin[number]
+        total = np.concatenate(([0], np.cumsum(size)))
+        flat = table.ids[np.arange(total[-1]) + np.repeat(table.begin[number] - total[:-1], size)]
+        bounds = total[first].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(json: str, special_as_text: bool = False) -> Encoder:
-    """The worker's encoder for a tokenizer, kept between tasks with its cache."""
+    """The worker's encoder for a tokenizer, kept between tasks with its table."""
     key = (json, special_as_text)
     if key not in _ENCODERS:
         _ENCODERS.clear()

@@ -41,9 +41,9 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS = _Powers(_BASE)
+_BYTE_POWERS, _BYTE_POWERS_2 = _Powers(_BASE), _Powers(np.uint64(0xC2B2AE3D27D4EB4F))
 _WORD_POWERS = tuple(_Powers(b) for b in _WINDOW_BASES)
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TABLE, _TABLE_2 = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,6 +99,17 @@ class Words:
         return mix((total[self.end] - total[self.start]) * down[self.start])
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the bytes of each span, by tables and bases of their own."""
+    out = []
+    for table, powers in ((_TABLE, _BYTE_POWERS), (_TABLE_2, _BYTE_POWERS_2)):
+        up, down = powers.upto(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * up[:-1], out=total[1:])
+        out.append(mix((total[end] - total[start]) * down[start]))
+    return out[0], out[1]
+
+
 def window_hashes(hashes: np.ndarray, size: int, at: np.ndarray, family: int = 0) -> np.ndarray:
     """A 64-bit hash of the ``size`` word hashes from each word number in ``at``."""
     up, down = _WORD_POWERS[family].upto(len(hashes) + 1)
