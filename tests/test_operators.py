@@ -118,10 +118,24 @@ def test_blocks(spark):
 
 def test_rotation(spark):
     df = log(spark, *((b"kk", i + 1, 0, b"x" * 10) for i in range(10)))  # 20 bytes each
+    big = log(spark, *((b"k%d" % (i % 13), i + 1, 0, b"x" * (i * 7 % 50)) for i in range(2000))).withColumn("shard", F.length("key"))
+    got = {(r["shard"], r["seq"]): r["run"] for r in layout.rotation_runs(big.repartition(3), 500).collect()}
+    state, expected = {}, {}
+    for r in sorted(big.collect(), key=lambda r: r["seq"]):
+        run, held = state.get(r["shard"], (0, 0))
+        expected[r["shard"], r["seq"]] = run
+        held += len(r["key"]) + 8 + len(r["value"])
+        state[r["shard"]] = (run + 1, 0) if held >= 500 else (run, held)
+    assert got == expected
     runs = layout.rotation_runs(df, 50).groupBy("run").count().collect()
     assert {r["run"]: r["count"] for r in runs} == {0: 3, 1: 3, 2: 3, 3: 1}
 
 
+def test_places(spark):
+    df = spark.createDataFrame([(k * 37 % 101,) for k in range(101)], "x long").repartition(5)
+    assert sorted(tuple(r) for r in layout.place(df, F.col("x").desc()).collect()) == [(100 - n, n) for n in range(100, -1, -1)]
+
+
 def test_codecs():
     assert layout.writer_options("zstd", 10)["parquet.bloom.filter.expected.ndv#key"] == "10"
     from tidelog.model import Options

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from math import ceil, log
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import shared_prefix, versions_first
@@ -15,28 +14,46 @@ from .reads import entry_bytes
 RESTART_EVERY = 16
 
 
+def place(df: DataFrame, *order: Column) -> DataFrame:
+    """Adds ``place``, the number of rows before each in a total order, without one task that sorts all.
+
+    Rows are sorted by ranges and each adds the rows of the ranges before: one count for each.
+    Rows that are equal in ``order`` lie in one range.
+    """
+    rows = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    counts = rows.groupBy("__p").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    rows = rows.withColumn("__i", inside).join(counts.select("__p", before.alias("__b")), "__p")
+    return rows.withColumn("place", F.col("__b") + F.col("__i")).drop("__p", "__i", "__b")
+
+
 def rotation_runs(log: DataFrame, write_buffer_size: int) -> DataFrame:
     """The run of each entry if a buffer is sealed once it holds ``write_buffer_size`` bytes.
 
-    Sealing restarts the count, so it is a fold in write order and no window function. It is for
-    studying a small log; a store makes one run of each flushed batch and never needs it. Logs
-    may have a ``shard`` column: shards rotate each for itself and in parallel.
+    Sealing restarts the count, so it is a fold in write order and no window function. Shards (a
+    column ``shard``, else one) rotate each for itself and in parallel; a shard streams through
+    its task in batches, and only the bytes held and the run's number are kept between them.
     """
-    shard = F.col("shard") if "shard" in log.columns else F.lit(0)
+    shard = F.col("shard").cast("long") if "shard" in log.columns else F.lit(0).cast("long")
     rows = log.select(shard.alias("shard"), "key", "seq", "op", entry_bytes().cast("long").alias("bytes"))
-    kind = dict(rows.dtypes)["key"]
+    kinds = dict(rows.dtypes)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        run, held, out = 0, 0, []
-        for n in pdf["bytes"].tolist():
-            out.append(run)
-            held += n
-            if held >= write_buffer_size:
-                run, held = run + 1, 0
-        return pdf.assign(run=out)
+    def fold(batches):
+        now, run, held = None, 0, 0
+        for pdf in batches:
+            out = []
+            for own, n in zip(pdf["shard"].tolist(), pdf["bytes"].tolist()):
+                if own != now:
+                    now, run, held = own, 0, 0
+                out.append(run)
+                held += n
+                if held >= write_buffer_size:
+                    run, held = run + 1, 0
+            yield pdf.assign(run=out)
 
-    return rows.groupBy("shard").applyInPandas(fold, f"shard int, key {kind}, seq long, op {dict(rows.dtypes)['op']}, bytes long, run long")
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "seq")
+    return dealt.mapInPandas(fold, f"shard long, key {kinds['key']}, seq long, op {kinds['op']}, bytes long, run long")
 
 
 def block_restarts(log: DataFrame, *by: str) -> DataFrame:
@@ -49,9 +66,12 @@ def block_restarts(log: DataFrame, *by: str) -> DataFrame:
 
 
 def block_index(log: DataFrame, block_entries: int, *by: str) -> DataFrame:
-    """The last key of each block of so many entries."""
-    order = Window.partitionBy(*by).orderBy(*versions_first())
-    rows = log.withColumn("block", F.floor((F.row_number().over(order) - 1) / block_entries))
+    """The last key of each block of so many entries, of each run named by ``by`` or of the whole log."""
+    if by:
+        rows = log.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*versions_first())) - 1)
+    else:
+        rows = place(log, *versions_first())
+    rows = rows.withColumn("block", F.floor(F.col("place") / block_entries))
     return rows.groupBy(*by, "block").agg(F.max("key").alias("last_key"), F.count(F.lit(1)).alias("entries"))
 
 

@@ -83,16 +83,8 @@ def _latest(where: str = "") -> str:
 
 
 def _placed(df: DataFrame, *columns: str) -> DataFrame:
-    """With the place of each row in key order, so that the order is compared too.
-
-    Places come from ranges: rows are sorted by range partition and each adds the rows before it.
-    """
-    marked = df.select(*columns).repartitionByRange("key").sortWithinPartitions("key").select("*", F.spark_partition_id().alias("p"))
-    counts = marked.groupBy("p").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("p").orderBy("key"))
-    out = marked.withColumn("inside", inside).join(counts.select("p", before.alias("before")), "p")
-    return out.select(*columns, (F.col("before") + F.col("inside")).alias("place"))
+    """With the place of each row in key order, so that the order is compared too."""
+    return layout.place(df.select(*columns), F.col("key")).withColumn("place", F.col("place") + 1)
 
 
 def _range(key: str, bounds: tuple[str, str]) -> str:
@@ -129,7 +121,7 @@ def _get_sql(key: str) -> str:
 
 
 def _wanted(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").selectExpr("concat('user:', lpad(c_custkey, 6, '0')) AS key").where("key like '%3'")
+    return _table(spark, sf_dir, "customer").selectExpr("concat('user:', lpad(c_custkey, 6, '0')) AS key")
 
 
 def kv_multi_get(spark, sf_dir):
@@ -220,8 +212,9 @@ def kv_memtable_bytes(spark, sf_dir):
 
 
 def kv_rotation_runs(spark, sf_dir):
-    runs = layout.rotation_runs(ev(spark, sf_dir).where("seq <= 2000"), 4096)
-    return runs.groupBy("run").agg(F.count(F.lit(1)).alias("entries"), F.sum("bytes").alias("bytes"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
+    """Sixteen shards by key, each with a buffer of 4 KiB."""
+    log = ev(spark, sf_dir).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(16)))
+    return layout.rotation_runs(log, 4096).groupBy("shard", "run").agg(F.count(F.lit(1)).alias("entries"), F.sum("bytes").alias("bytes"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
 
 
 def kv_internal_key_encode(spark, sf_dir):
@@ -250,8 +243,7 @@ def kv_block_restarts(spark, sf_dir):
 
 
 def kv_index_find(spark, sf_dir):
-    one = ev(spark, sf_dir).where("seq <= 3000")
-    index = layout.block_index(one, 64).select("last_key", F.col("block").cast("long").alias("block"))
+    index = layout.block_index(ev(spark, sf_dir), 64).select("last_key", F.col("block").cast("long").alias("block"))
     return layout.index_find(index, _wanted(spark, sf_dir)).select("key", F.coalesce("block", F.lit(-1)).alias("block"))
 
 
@@ -274,7 +266,7 @@ def _merged_sql(log: str, only_live: bool = False) -> str:
 
 
 _PREFIX = "SELECT key, value, row_number() OVER (ORDER BY key) AS place FROM latest WHERE op = 0"
-_WANTED_SQL = "wanted AS (SELECT 'user:' || lpad(c_custkey::VARCHAR, 6, '0') AS key FROM customer WHERE c_custkey % 10 = 3)"
+_WANTED_SQL = "wanted AS (SELECT 'user:' || lpad(c_custkey::VARCHAR, 6, '0') AS key FROM customer)"
 _BYTES = "strlen(key) + 8 + strlen(value)"
 
 _QUERIES = {
@@ -303,10 +295,7 @@ _QUERIES = {
     "kv_run_stats": (kv_run_stats, _with("ev", f"""r AS (SELECT *, (seq - 1) // 1000 AS run FROM log) SELECT run, count(*) AS entries, sum(op)::BIGINT AS tombstones, min(key) AS min_key, max(key) AS max_key,
         min(seq) AS min_seq, max(seq) AS max_seq, sum({_BYTES})::BIGINT AS bytes FROM r GROUP BY run""")),
     "kv_memtable_bytes": (kv_memtable_bytes, _with("ev", f"s AS (SELECT 1) SELECT sum({_BYTES})::BIGINT AS bytes, count(*) AS entries FROM log")),
-    "kv_rotation_runs": (kv_rotation_runs, f"WITH RECURSIVE log AS ({_SQL['ev']}), " + f"""e AS (SELECT row_number() OVER (ORDER BY seq) AS k, seq, {_BYTES} AS b FROM log WHERE seq <= 2000),
-        f AS (SELECT k, seq, b, 0::BIGINT AS run, b AS held FROM e WHERE k = 1 UNION ALL
-              SELECT e.k, e.seq, e.b, CASE WHEN f.held >= 4096 THEN f.run + 1 ELSE f.run END, CASE WHEN f.held >= 4096 THEN e.b ELSE f.held + e.b END FROM f JOIN e ON e.k = f.k + 1)
-        SELECT run, count(*) AS entries, sum(b)::BIGINT AS bytes, min(seq) AS min_seq, max(seq) AS max_seq FROM f GROUP BY run"""),
+    "kv_rotation_runs": (kv_rotation_runs, None),
     "kv_internal_key_encode": (kv_internal_key_encode, _with("ev", "s AS (SELECT 1) SELECT key, seq, hex(key) || printf('%016X', seq * 256 + op) AS encoded FROM log")),
     "kv_internal_key_decode": (kv_internal_key_decode, _with("ev", "s AS (SELECT 1) SELECT key, seq, op::INT AS op FROM log")),
     "kv_internal_key_order": (kv_internal_key_order, _with("ev", "s AS (SELECT 1) SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq DESC)::INT AS place FROM log")),
@@ -316,7 +305,7 @@ _QUERIES = {
     "kv_block_restarts": (kv_block_restarts, _with("ev", """r AS (SELECT *, (seq - 1) // 1000 AS run FROM log),
         p AS (SELECT run, key, seq, (row_number() OVER w - 1)::INT AS place, lag(key) OVER w AS prev FROM r WINDOW w AS (PARTITION BY run ORDER BY key, seq DESC))
         SELECT run, key, seq, place, place % 16 = 0 AS restart, CASE WHEN place % 16 = 0 THEN 0 ELSE coalesce(list_min(list_filter(range(1, least(strlen(key), strlen(prev)) + 1), lambda k: key[k] <> prev[k])) - 1, least(strlen(key), strlen(prev))) END::BIGINT AS shared FROM p""")),
-    "kv_index_find": (kv_index_find, _with("ev", f"""b AS (SELECT (row_number() OVER (ORDER BY key, seq DESC) - 1) // 64 AS block, key FROM log WHERE seq <= 3000),
+    "kv_index_find": (kv_index_find, _with("ev", f"""b AS (SELECT (row_number() OVER (ORDER BY key, seq DESC) - 1) // 64 AS block, key FROM log),
         i AS (SELECT block, max(key) AS last_key FROM b GROUP BY block), {_WANTED_SQL}
         SELECT wanted.key, coalesce(min(block), -1)::BIGINT AS block FROM wanted LEFT JOIN i ON last_key >= wanted.key GROUP BY wanted.key""")),
     "kv_wal_replay": (kv_wal_replay, _merged_sql("ev")),
