@@ -11,5 +11,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage into ``spark.checkpoint.dir``; only where that is unset a folder is made."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-checkpoint-"))
     return df.checkpoint(eager=True)
