@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_folder
-from .tokens import encoder, tokenizer_json
+from .tokens import SLICE_BYTES, encoder, tokenizer_json
 from .words import text_slices
 
 MAGIC = b"TPL1"
@@ -104,7 +104,7 @@ def _encode(json: str, end_id: int, planes: str):
 
         waiting = 0
         for batch in batches:
-            for part, texts in text_slices(batch):
+            for part, texts in text_slices(batch, size=SLICE_BYTES):
                 docs = [x + end for x in encode(texts)]
                 at = 0
                 for k, ids in enumerate(docs):

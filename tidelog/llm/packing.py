@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
-from .tokens import encoder, tokenizer_json
+from .tokens import SLICE_BYTES, encoder, tokenizer_json
 from .words import text_slices
 
 #: Pieces that a task packs at a time.
@@ -87,7 +87,7 @@ def _pieces(json: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, step = encoder(json).encode, 4 * capacity
         for batch in batches:
-            for part, texts in text_slices(batch):
+            for part, texts in text_slices(batch, size=SLICE_BYTES):
                 docs = [x + end for x in encode(texts)]
                 sizes = np.fromiter(map(len, docs), np.int64, len(docs)) // 4
                 n = -(-sizes // capacity)

@@ -19,8 +19,10 @@ from tokenizers import Tokenizer
 
 from .words import Words, hash_spans
 
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 1_000_000
 #: Slots of a worker's table; it starts anew when half of them are used.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 _NOT_BREAK = np.ones(256, bool)
 _NOT_BREAK[[0x20, 0x0A]] = False
 _ALNUM_ASCII = np.zeros(256, bool)

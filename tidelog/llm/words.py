@@ -33,7 +33,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = n + n // 8
             for name, b in (("up", self.base), ("down", _inverse(self.base))):
                 p = np.full(size, b, np.uint64)
                 p[0] = 1
