@@ -115,25 +115,26 @@ def block_masks(distance: int, spare: int) -> list[int]:
     return [_signed(sum(choice)) for choice in combinations(blocks, spare)]
 
 
-def _components(keyed: DataFrame, node: str, close, verify=lambda pairs: pairs) -> DataFrame:
+def _components(keyed: DataFrame, node: str, close, more: DataFrame | None = None) -> DataFrame:
     """Components of the nodes that share a bucket and are close; columns (node, component).
 
-    ``keyed`` has bucket, ``node`` and what ``close(a, b)`` compares of two aliased rows;
-    ``verify`` may drop rows of pairs (x, y, ...) of nodes. Nodes without a link are left out.
+    ``keyed`` has bucket and ``node``; ``more`` has what else ``close(a, b)`` compares of two
+    aliased rows, by node, and is joined only to nodes that share a bucket. Nodes without a link
+    are left out.
     """
     buckets = keyed.groupBy("bucket").agg(F.min(node).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = checkpoint(keyed.join(buckets, "bucket"))
+    shared = keyed.join(buckets, "bucket")
+    shared = checkpoint(shared if more is None else shared.join(more, node))
     same = F.col("a.bucket") == F.col("b.bucket")
     a, b = shared.alias("a"), shared.where(F.col(node) == F.col("least")).alias("b")
     star = a.join(b, same & (F.col(f"a.{node}") > F.col(f"b.{node}")) & close("a", "b"))
-    star = verify(star.select(F.col(f"a.{node}").alias("x"), F.col(f"b.{node}").alias("y")).distinct())
+    star = star.select(F.col(f"a.{node}").alias("x"), F.col(f"b.{node}").alias("y"))
     near = connected_components(star, "x", "y").select(F.col("node").alias(node), F.col("component").alias("c1"))
     near = checkpoint(near)
     labelled = shared.join(near, node, "left").withColumn("c1", F.coalesce("c1", node))
     a, b = labelled.alias("a"), labelled.alias("b")
     across = a.join(b, same & (F.col("a.c1") < F.col("b.c1")) & close("a", "b"))
-    names = {"x": f"a.{node}", "y": f"b.{node}", "cx": "a.c1", "cy": "b.c1"}
-    across = verify(across.select(*[F.col(v).alias(k) for k, v in names.items()]).distinct())
+    across = across.select(F.col("a.c1").alias("cx"), F.col("b.c1").alias("cy"))
     far = connected_components(across, "cx", "cy").select(F.col("node").alias("c1"), F.col("component").alias("c2"))
     alone = far.join(near, "c1", "left_anti").select(F.col("c1").alias(node), "c1")
     members = near.unionByName(alone)
@@ -161,31 +162,37 @@ def near_duplicates(
 
 #: Two sets of shingles with similarity J differ in about arccos(2J / (1 + J)) / pi of the bits:
 #: 0.1515 at 0.8. The limit leaves room for chance.
-WIDE_LANES, WIDE_BLOCK_BITS, WIDE_LIMIT = 20, 20, 0.16
+WIDE_LANES, WIDE_LIMIT = 20, 0.16
+#: A table joins on three bytes of the wide fingerprint. Their distances in it are 1, 3 and 4, so
+#: two tables have one byte in common at most.
+WIDE_TABLES, WIDE_STEPS = 128, (0, 1, 4)
 #: Of the first lane's bits, so many may differ in a candidate (mean 9.7 at similarity 0.8).
 LANE_LIMIT = 20
 
 
-def _wide_blocks() -> list:
-    blocks = []
-    for at in range(0, WIDE_LANES * BITS - WIDE_BLOCK_BITS + 1, WIDE_BLOCK_BITS):
-        lane, low = divmod(at, BITS)
-        block = F.shiftrightunsigned(F.element_at("wide", lane + 1), low)
-        if low + WIDE_BLOCK_BITS > BITS:
-            block = block.bitwiseOR(F.shiftleft(F.element_at("wide", lane + 2), BITS - low))
-        blocks.append(block.bitwiseAND(F.lit((1 << WIDE_BLOCK_BITS) - 1)))
-    return blocks
+def _wide_keys():
+    """The tables' keys, as one short expression: the driver holds many plans with it."""
+    size = WIDE_LANES * 8
+
+    def byte(n):
+        lane = F.get("wide", F.floor(n / 8).cast("int"))
+        return F.call_function("shiftrightunsigned", lane, n % 8 * 8).bitwiseAND(F.lit(255).cast("long"))
+
+    def key(t):
+        a, b, c = (byte((t + step) % size) for step in WIDE_STEPS)
+        return ((t.cast("long") * 256 + a) * 256 + b) * 256 + c
+
+    return F.transform(F.sequence(F.lit(0), F.lit(WIDE_TABLES - 1)), key)
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row of least id stays.
 
     Two texts link when their sets of shingles have a similarity of about 0.8 or more. 64 bits
-    can't tell that apart, so the fingerprint has WIDE_LANES * 64 bits. Equal blocks of
-    WIDE_BLOCK_BITS bits give candidates (at similarity 0.8 a pair shares one of the 64 blocks
-    with probability 0.91, at 0.9 with 0.999), the first lane's distance thins them, and the
-    distance over all lanes decides. Of equal rows one stays; a null id stays only if no row of
-    its component has an id.
+    can't tell that apart, so the fingerprint has WIDE_LANES * 64 bits. Tables join on 24 of them
+    (at similarity 0.8 a pair meets in one of the 128 with probability 0.91, at 0.85 with 0.99, at
+    0.9 with 0.999), and the distance over all bits decides. Of equal rows one stays; a null id
+    stays only if no row of its component has an id.
     """
     text = F.col(text_col).cast("string")
     named = docs.withColumns({"__id": F.col(id_col), "__t1": F.xxhash64(text), "__t2": F.xxhash64(text, F.lit(7))})
@@ -194,18 +201,15 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
     prints = rows.mapInArrow(_fingerprints(shingle, WIDE_LANES), f"doc_id {id_type}, t1 long, t2 long, fp long, wide array<long>")
     prints = checkpoint(prints.withColumn("node", F.xxhash64("wide")))
     nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide")))
-    keyed = nodes.select("node", "fp", F.posexplode(F.array(*_wide_blocks())).alias("t", "k"))
-    keyed = keyed.select("node", "fp", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("k")).alias("bucket"))
-    close = lambda a, b: F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= LANE_LIMIT
+    keyed = nodes.select("node", F.explode(_wide_keys()).alias("bucket"))
     most = int(WIDE_LIMIT * WIDE_LANES * BITS)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wide = nodes.select("node", "wide")
-        pairs = pairs.join(wide.toDF("x", "wx"), "x").join(wide.toDF("y", "wy"), "y")
-        differing = sum(F.bit_count(F.element_at("wx", n).bitwiseXOR(F.element_at("wy", n))) for n in range(1, WIDE_LANES + 1))
-        return pairs.where(differing <= most).drop("wx", "wy")
+    def close(a: str, b: str):
+        lane = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp")))
+        each = F.zip_with(F.col(f"{a}.wide"), F.col(f"{b}.wide"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return (lane <= LANE_LIMIT) & (F.aggregate(each, F.lit(0), lambda n, x: n + x) <= most)
 
-    linked = _components(keyed, "node", close, verify)
+    linked = _components(keyed, "node", close, nodes)
     copies = prints.groupBy("node", "doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
     copies = copies.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")
