@@ -72,19 +72,25 @@ def _anchor_rows(window: int):
                 values.append(a.value)
             uid, value = np.concatenate(uids or [np.zeros(0, np.int64)]), np.concatenate(values or [np.zeros(0, np.uint64)])
             order = np.argsort(value, kind="stable")
-            uid, value = uid[order], value[order]
-            new = np.concatenate((np.ones(min(1, len(value)), bool), value[1:] != value[:-1]))
-            size = np.diff(np.append(np.flatnonzero(new), len(value)))
-            many = np.repeat(size > 1, size)
-            once, lead = ~many, new & many
-            # what repeats in this batch is known to repeat: one row tells the others, the rest go anywhere
-            key = np.concatenate((value[once], value[lead], mix(value[many] ^ mix(uid[many].astype(np.uint64)))))
+            ranked = value[order]
+            new = np.concatenate((np.ones(min(1, len(ranked)), bool), ranked[1:] != ranked[:-1]))
+            size = np.diff(np.append(np.flatnonzero(new), len(ranked)))
+            many, lead = np.zeros(len(value), bool), np.zeros(len(value), bool)
+            many[order] = np.repeat(size > 1, size)
+            lead[order] = new & np.repeat(size > 1, size)
+            once = ~many
+            # what repeats in this batch is known to repeat: one row tells the others, the rest go anywhere;
+            # rows stay in the texts' order, and the anchor is left out where the key tells it: both pack better
+            n1, n2, n3 = int(once.sum()), int(lead.sum()), int(many.sum())
+            lone = mix(value[many] ^ mix(uid[many].astype(np.uint64)))
             yield pa.record_batch(
                 {
-                    "pk": _signed(key),
-                    "mult": pa.array(np.concatenate((np.ones(once.sum(), np.int8), np.full(lead.sum(), LEAD, np.int8), np.full(many.sum(), 2, np.int8)))),
-                    "uid": pa.array(np.concatenate((uid[once], np.full(lead.sum(), -1), uid[many]))),
-                    "anchor": _signed(np.concatenate((value[once], value[lead], value[many]))),
+                    "pk": _signed(np.concatenate((value[once], value[lead], lone))),
+                    "mult": pa.array(np.concatenate((np.ones(n1, np.int8), np.full(n2, LEAD, np.int8), np.full(n3, 2, np.int8)))),
+                    "uid": pa.array(np.concatenate((uid[once], np.full(n2, -1), uid[many]))),
+                    "anchor": pa.array(
+                        np.concatenate((np.zeros(n1 + n2, np.int64), value[many].view(np.int64))), mask=np.arange(n1 + n2 + n3) < n1 + n2
+                    ),
                 }
             )
 
@@ -215,7 +221,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     # all three passes ask for the same columns, so that one exchange serves them
     anchors = apart.select("uid", "doc_id", "text").mapInArrow(_anchor_rows(window), "pk long, mult byte, uid long, anchor long")
     anchors = anchors.withColumn("n", F.sum("mult").over(Window.partitionBy("pk"))).where(f"n > 1 and mult < {LEAD}")
-    lists = anchors.groupBy("uid").agg(F.collect_set("anchor").alias("anchors"))
+    lists = anchors.groupBy("uid").agg(F.collect_set(F.coalesce("anchor", "pk")).alias("anchors"))
 
     held = apart.join(lists.hint("shuffle_hash"), "uid").select("uid", "doc_id", "text", "anchors")
     windows = held.mapInArrow(_window_rows(window), "k1 long, k2 int, mult byte, uid long, pos int, run int")
