@@ -70,3 +70,16 @@ def test_keeps_one_of_each(spark):
         least.setdefault(g, i)
     assert got == sorted([*least.values(), 5000])
     assert all(len(words_of(r["text"])) == 200 for r in kept.collect() if r["doc_id"] < 5000)
+
+
+def test_repeated_lines_count_once(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    some = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    line = some(20)
+    # ten texts have only one line in common, sixteen times; two have equal sets of shingles
+    apart = [(k, "\n".join([some(400), *[line] * 16])) for k in range(10)]
+    prose = some(400)
+    equal = [(20, "\n".join([prose, *[line] * 2])), (21, "\n".join([prose, *[line] * 40]))]
+    kept = keep_one_of_each(spark.createDataFrame(apart + equal, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(10), 20]

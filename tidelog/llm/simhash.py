@@ -32,8 +32,11 @@ SEED = 42
 BITS = 64
 
 
-def _shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of every shingle, and the bounds of each text's shingles."""
+def _shingles(texts: list[bytes], size: int, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle, and the bounds of each text's shingles.
+
+    With ``distinct`` each shingle of a text counts once, and a text's hashes are sorted.
+    """
     words = Words(texts, NOT_SPACE, lower=True)
     # one space between words: the separator behind each word goes with it
     step = np.zeros(len(words.data) + 1, np.int8)
@@ -48,7 +51,15 @@ def _shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     last = np.minimum(first + size, np.repeat(words.first[1:], counts))
     digest = xxhash.xxh64_intdigest
     hashes = [digest(data[a:b], SEED) for a, b in zip(bound[first].tolist(), (bound[last] - 1).tolist())]
-    return np.array(hashes, np.uint64), np.concatenate(([0], np.cumsum(counts)))
+    hashes = np.array(hashes, np.uint64)
+    if distinct:
+        owner = np.repeat(np.arange(len(counts)), counts)
+        order = np.lexsort((hashes, owner))
+        hashes, owner = hashes[order], owner[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+        hashes, counts = hashes[new], np.bincount(owner[new], minlength=len(counts))
+    return hashes, np.concatenate(([0], np.cumsum(counts)))
 
 
 #: The bits of each byte value.
@@ -78,11 +89,11 @@ def _majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(size: int, lanes: int):
+def _fingerprints(size: int, lanes: int, distinct: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch):
-                hashes, bounds = _shingles(texts, size)
+                hashes, bounds = _shingles(texts, size, distinct)
                 columns = [_majority(hashes, bounds)]
                 for lane in range(1, lanes):
                     columns.append(_majority(mix(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))), bounds))
@@ -198,7 +209,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
     named = docs.withColumns({"__id": F.col(id_col), "__t1": F.xxhash64(text), "__t2": F.xxhash64(text, F.lit(7))})
     rows = named.select(F.col("__id").alias("doc_id"), text.alias("text"), F.col("__t1").alias("t1"), F.col("__t2").alias("t2"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    prints = rows.mapInArrow(_fingerprints(shingle, WIDE_LANES), f"doc_id {id_type}, t1 long, t2 long, fp long, wide array<long>")
+    prints = rows.mapInArrow(_fingerprints(shingle, WIDE_LANES, distinct=True), f"doc_id {id_type}, t1 long, t2 long, fp long, wide array<long>")
     prints = checkpoint(prints.withColumn("node", F.xxhash64("wide")))
     nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide")))
     keyed = nodes.select("node", F.explode(_wide_keys()).alias("bucket"))
