@@ -89,20 +89,11 @@ def _majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(size: int, lanes: int, distinct: bool = False):
+def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch):
-                hashes, bounds = _shingles(texts, size, distinct)
-                columns = [_majority(hashes, bounds)]
-                for lane in range(1, lanes):
-                    columns.append(_majority(mix(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))), bounds))
-                out = {"doc_id": part.column("doc_id")} | {n: part.column(n) for n in ("t1", "t2") if n in part.schema.names}
-                out["fp"] = pa.array(columns[0].view(np.int64))
-                if lanes > 1:
-                    flat = np.stack(columns, axis=1).view(np.int64).ravel()
-                    out["wide"] = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * lanes, pa.int32()), pa.array(flat))
-                yield pa.record_batch(out)
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": pa.array(_majority(*_shingles(texts, size)).view(np.int64))})
 
     return run
 
@@ -111,7 +102,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """One row for each input row: doc_id and fp, the 64-bit fingerprint as a signed long."""
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle, 1), f"doc_id {id_type}, fp long")
+    return rows.mapInArrow(_fingerprints(shingle), f"doc_id {id_type}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -126,16 +117,14 @@ def block_masks(distance: int, spare: int) -> list[int]:
     return [_signed(sum(choice)) for choice in combinations(blocks, spare)]
 
 
-def _components(keyed: DataFrame, node: str, close, more: DataFrame | None = None) -> DataFrame:
+def _components(keyed: DataFrame, node: str, close) -> DataFrame:
     """Components of the nodes that share a bucket and are close; columns (node, component).
 
-    ``keyed`` has bucket and ``node``; ``more`` has what else ``close(a, b)`` compares of two
-    aliased rows, by node, and is joined only to nodes that share a bucket. Nodes without a link
-    are left out.
+    ``keyed`` has bucket and ``node``; ``close(a, b)`` compares two aliased rows. Nodes without a
+    link are left out.
     """
     buckets = keyed.groupBy("bucket").agg(F.min(node).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = keyed.join(buckets, "bucket")
-    shared = checkpoint(shared if more is None else shared.join(more, node))
+    shared = checkpoint(keyed.join(buckets, "bucket"))
     same = F.col("a.bucket") == F.col("b.bucket")
     a, b = shared.alias("a"), shared.where(F.col(node) == F.col("least")).alias("b")
     star = a.join(b, same & (F.col(f"a.{node}") > F.col(f"b.{node}")) & close("a", "b"))
@@ -171,56 +160,112 @@ def near_duplicates(
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Two sets of shingles with similarity J differ in about arccos(2J / (1 + J)) / pi of the bits:
-#: 0.1515 at 0.8. The limit leaves room for chance.
-WIDE_LANES, WIDE_LIMIT = 20, 0.16
-#: A table joins on three bytes of the wide fingerprint. Their distances in it are 1, 3 and 4, so
-#: two tables have one byte in common at most.
-WIDE_TABLES, WIDE_STEPS = 128, (0, 1, 4)
-#: Of the first lane's bits, so many may differ in a candidate (mean 9.7 at similarity 0.8).
-LANE_LIMIT = 20
+#: A band is the least values of BAND_ROWS orders of a text's shingles. Two sets of similarity J
+#: agree in a band with probability J ** BAND_ROWS, and in one of all with 0.9993 at 0.8.
+BANDS, BAND_ROWS = 24, 6
+#: Texts link at this share of common shingles, in hundredths.
+SIMILAR = 80
+_ORDERS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each range of hashes; zeros for an empty one."""
+    some = np.flatnonzero(np.diff(bounds))
+    out = np.zeros((len(bounds) - 1, BANDS), np.uint64)
+    if len(some):
+        for band in range(BANDS):
+            key = np.full(len(some), band + 1, np.uint64)
+            for order in _ORDERS[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(hashes * order, bounds[some]))
+            out[some, band] = key
+    return out
+
+
+def _bands(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                hashes, bounds = _shingles(texts, size, distinct=True)
+                cuts = bounds.tolist()
+                node = [xxhash.xxh64_intdigest(hashes[a:b].tobytes(), SEED) for a, b in zip(cuts, cuts[1:])]
+                out = {n: part.column(n) for n in ("doc_id", "t1", "t2")}
+                out["node"] = pa.array(np.array(node, np.uint64).view(np.int64))
+                out["size"] = pa.array(np.diff(bounds))
+                flat = band_keys(hashes, bounds).view(np.int64).ravel()
+                out["keys"] = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * BANDS, pa.int32()), pa.array(flat))
+                yield pa.record_batch(out)
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                hashes, bounds = _shingles(texts, size, distinct=True)
+                yield pa.record_batch({"node": part.column("node"), "shingles": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))})
+
+    return run
 
 
-def _wide_keys():
-    """The tables' keys, as one short expression: the driver holds many plans with it."""
-    size = WIDE_LANES * 8
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y, ...) of nodes whose sets of shingles have the similarity to link."""
+    for side in ("x", "y"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}")), side)
+    both = F.size(F.array_intersect("sx", "sy"))
+    return pairs.where((100 + SIMILAR) * both >= SIMILAR * (F.size("sx") + F.size("sy"))).drop("sx", "sy")
 
-    def byte(n):
-        lane = F.get("wide", F.floor(n / 8).cast("int"))
-        return F.call_function("shiftrightunsigned", lane, n % 8 * 8).bitwiseAND(F.lit(255).cast("long"))
 
-    def key(t):
-        a, b, c = (byte((t + step) % size) for step in WIDE_STEPS)
-        return ((t.cast("long") * 256 + a) * 256 + b) * 256 + c
+def _linked(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Components of the nodes (node, size, keys, doc_id, t1, t2) over links of SIMILAR; columns (node, component).
 
-    return F.transform(F.sequence(F.lit(0), F.lit(WIDE_TABLES - 1)), key)
+    As in ``_components``, nodes are first compared with the least of each bucket, the components
+    of these links are contracted, and then only nodes of different components are compared. The
+    shingles of the nodes that share a bucket are made once, from the text of (doc_id, t1, t2).
+    """
+    keyed = nodes.select("node", "size", F.explode("keys").alias("bucket"))
+    least = F.min(F.struct("node", "size")).alias("least")
+    buckets = keyed.groupBy("bucket").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = checkpoint(keyed.join(buckets, "bucket"))
+    # sets of such sizes can't be similar enough
+    fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * SIMILAR) & (F.col(b) * 100 >= F.col(a) * SIMILAR)
+    sources = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("kid"), F.col("t1").alias("k1"), F.col("t2").alias("k2"))
+    match = F.col("doc_id").eqNullSafe(F.col("kid")) & (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))
+    chosen = texts.join(sources.hint("shuffle_hash"), match)
+    sets = chosen.select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>")
+    # repeated rows give equal sets
+    sets = checkpoint(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    star = shared.where((F.col("node") > F.col("least.node")) & fits("size", "least.size"))
+    star = _similar(star.select(F.col("node").alias("x"), F.col("least.node").alias("y")).distinct(), sets)
+    near = connected_components(star, "x", "y").select("node", F.col("component").alias("c1"))
+    near = checkpoint(near)
+    labelled = shared.select("node", "size", "bucket").join(near, "node", "left").withColumn("c1", F.coalesce("c1", "node"))
+    a, b = labelled.alias("a"), labelled.alias("b")
+    across = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.c1") < F.col("b.c1")) & fits("a.size", "b.size"))
+    across = across.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.c1").alias("cx"), F.col("b.c1").alias("cy")).distinct()
+    far = checkpoint(connected_components(_similar(across, sets), "cx", "cy").select(F.col("node").alias("c1"), F.col("component").alias("c2")))
+    alone = far.join(near, "c1", "left_anti").select(F.col("c1").alias("node"), "c1")
+    return near.unionByName(alone).join(far, "c1", "left").select("node", F.coalesce("c2", "c1").alias("component"))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row of least id stays.
 
-    Two texts link when their sets of shingles have a similarity of about 0.8 or more. 64 bits
-    can't tell that apart, so the fingerprint has WIDE_LANES * 64 bits. Tables join on 24 of them
-    (at similarity 0.8 a pair meets in one of the 128 with probability 0.91, at 0.85 with 0.99, at
-    0.9 with 0.999), and the distance over all bits decides. Of equal rows one stays; a null id
-    stays only if no row of its component has an id.
+    Two texts link when their sets of shingles have a similarity of SIMILAR hundredths or more.
+    Candidates agree in a band of least shingle hashes; the similarity of their hashes decides.
+    SimHash can't serve that: of its 24-bit keys some 300 would be needed for a like share of the
+    pairs, and those agree by chance. Of equal rows one stays; a null id stays only if no row of
+    its component has an id.
     """
     text = F.col(text_col).cast("string")
     named = docs.withColumns({"__id": F.col(id_col), "__t1": F.xxhash64(text), "__t2": F.xxhash64(text, F.lit(7))})
     rows = named.select(F.col("__id").alias("doc_id"), text.alias("text"), F.col("__t1").alias("t1"), F.col("__t2").alias("t2"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    prints = rows.mapInArrow(_fingerprints(shingle, WIDE_LANES, distinct=True), f"doc_id {id_type}, t1 long, t2 long, fp long, wide array<long>")
-    prints = checkpoint(prints.withColumn("node", F.xxhash64("wide")))
-    nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide")))
-    keyed = nodes.select("node", F.explode(_wide_keys()).alias("bucket"))
-    most = int(WIDE_LIMIT * WIDE_LANES * BITS)
-
-    def close(a: str, b: str):
-        lane = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp")))
-        each = F.zip_with(F.col(f"{a}.wide"), F.col(f"{b}.wide"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-        return (lane <= LANE_LIMIT) & (F.aggregate(each, F.lit(0), lambda n, x: n + x) <= most)
-
-    linked = _components(keyed, "node", close, nodes)
+    prints = checkpoint(rows.mapInArrow(_bands(shingle), f"doc_id {id_type}, t1 long, t2 long, node long, size long, keys array<long>"))
+    source = F.min_by(F.struct("doc_id", "t1", "t2"), F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")).alias("source")
+    nodes = prints.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), source)
+    nodes = checkpoint(nodes.select("node", "size", "keys", "source.*"))
+    linked = _linked(nodes, rows, shingle)
     copies = prints.groupBy("node", "doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
     copies = copies.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")
