@@ -55,3 +55,17 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, "clash"), (1, None, None, "clash"), (None, "u", "<p>x", "clash")], "page_id long, url string, html string, text string")
     assert sorted((tuple(r) for r in extract_text(df).collect()), key=str) == [(1, None, "", 0), (1, None, "", 0), (None, "u", "x", 1)]
     assert extract_text(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ('<article><p>Some text.</p><div class="notice"><p>Read this notice.</p></div><div class=notices>More.</div></article>', "Some text."),
+        ('<article data-headline="The hidden cost of rain"><p>Some text.</article>', "Some text."),
+        ('<article title="hidden gems" data-id="comments-12"><p>Some text.</article>', "Some text."),
+        ("<article data-x='class=\"sidebar\"'><p>Some text.<p hidden>no<p class = \"ad\">no</article>", "Some text."),
+        ('<article class="no-sidebar has-comments with-ads"><p>Some text.</article>', "Some text."),
+    ],
+)
+def test_names_are_whole_attributes(page, expected):
+    assert main_text(page) == expected

@@ -47,7 +47,7 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPES = frozenset("ul ol dl table article main section div body html blockquote".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
-_NAME = re.compile(r"""\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -66,7 +66,7 @@ class Element:
             bad = True
         good = tag in CONTENT
         if attributes:
-            for name, value in _NAME.findall(attributes):
+            for name, value in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
                 if name == "role":
                     bad |= value in BAD_ROLES
@@ -75,7 +75,7 @@ class Element:
                     bad = True
                 elif name in ("class", "id", "itemprop"):
                     # has-sidebar and the like tell what else there is
-                    parts = {x for token in value.split() if not token.startswith(("has", "no", "with")) for x in re.split(r"[^a-z]+", token)}
+                    parts = {x for token in value.split() if not token.startswith(("has-", "no-", "with-")) for x in re.split(r"[^a-z]+", token)}
                     bad |= bool(parts & (BAD_NAMES - HEADS if inside else BAD_NAMES)) and tag not in ("html", "body", "main")
                     good |= bool(parts & GOOD_NAMES)
                     names.append(value)
