@@ -69,3 +69,17 @@ def test_odd_rows(spark):
 )
 def test_names_are_whole_attributes(page, expected):
     assert main_text(page) == expected
+
+
+PARAGRAPHS = [f"Paragraph {k} tells a part of the tale, and it does so with many words, some marks; it goes on for a while, as paragraphs do." for k in range(4)]
+
+
+def test_pages_without_names():
+    text = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    menu = "".join(f"<div class=m{k}><a href=x>Link number {k}</a></div>" for k in range(6))
+    side = "<div class=k9><div class=q1>Weather today</div><div class=q2>Buy now</div></div>"
+    foot = "<div class=z3>Copyright 2024 Example Inc. All rights reserved.</div>"
+    page = f"<body><div class=a1>{menu}</div><div class=b2><h1>The tale</h1>{text}<ul><li>short item</li></ul><p>ok</p></div>{side}{foot}</body>"
+    assert main_text(page) == "\n".join(["The tale", *PARAGRAPHS, "short item", "ok"])
+    cells = f"<body><table><tr><td bgcolor=x><a href=x>Home</a> <a href=y>News</a></td><td>{text}</td></tr><tr><td>Copyright Example</td></tr></table></body>"
+    assert main_text(cells) == "\n".join(PARAGRAPHS)

@@ -3,10 +3,12 @@
 A page is cut into blocks, each with the path of tags from the root to it. For each path the
 lengths of its blocks' text, their punctuation, and the text in links are summed. The ratio of
 text to blocks, weighted by punctuation and by the share that isn't link text, is the path's
-score; scores are smoothed over neighbouring blocks by the similarity of their paths, fused with
-what the path's tags and class names say, and blocks over a threshold are content nodes. The
-smallest element that holds the content nodes gives the text: all its blocks but those on
-boilerplate paths, short ones too.
+score; scores are smoothed over neighbouring blocks by the similarity of their paths (the geometric
+mean with the path's own, so that a menu beside an article gains little) and fused with what the
+path's tags and class names say. Paths that reach half the mean score of the page's characters, and
+aren't mostly links, are content. The text is that of all blocks on content paths, of the content
+elements that hold such a path, whole but for boilerplate, of short flow blocks (headings, list
+items, paragraphs) beside content, and of the headings right before it.
 
 Edge cases: null and empty pages give an empty text. Broken markup is read as far as it goes: end
 tags that open nothing are ignored, unclosed elements end with their parent, a paragraph ends
@@ -44,6 +46,10 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search form d
 GOOD_NAMES = frozenset("article articlebody content entry main post story body".split())
 #: A new block of the first kind ends an open one of the second.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Short blocks of these are kept beside content; the lists are seen through.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FLOW = HEADINGS | frozenset("p li dt dd pre blockquote figcaption".split())
+LISTS = frozenset("ul ol dl li blockquote figure".split())
 SCOPES = frozenset("ul ol dl table article main section div body html blockquote".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
@@ -53,6 +59,9 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Blocks on each side that smooth a score, and the width of the window.
 REACH, WIDTH = 3, 1.5
+#: What a content name multiplies a score by, the share of the mean score that makes a path content,
+#: and the share of text in links that unmakes it.
+GOOD, LEAST, LINKS = 2.0, 0.5, 0.5
 
 
 class Element:
@@ -184,58 +193,69 @@ def scores(found: list[Block]) -> list[float]:
         t[1] += len(b.text)
         t[2] += len(_PUNCTUATION.findall(b.text))
         t[3] += min(b.linked, len(b.text))
-    ratio = {p: log1p(n_text / n) * (1 + log1p(marks / n)) * (1 - n_link / n_text) for p, (n, n_text, marks, n_link) in total.items()}
+    ratio = {p: n_text / n * (1 + log1p(marks / n)) * (1 - n_link / n_text) for p, (n, n_text, marks, n_link) in total.items()}
     kernel = [exp(-(d * d) / (2 * WIDTH * WIDTH)) for d in range(REACH + 1)]
     out = []
     for k, b in enumerate(found):
         value = weight = 0.0
         for j in range(max(0, k - REACH), min(len(found), k + REACH + 1)):
-            w = kernel[abs(k - j)] * _alike(b.path, found[j].path)
+            w = kernel[abs(k - j)] * _alike(b.path, found[j].path) ** 3
             value, weight = value + w * ratio[found[j].path], weight + w
-        out.append(0.0 if b.element.bad else value / weight * (2.0 if b.element.good else 1.0))
+        out.append(0.0 if b.element.bad else (ratio[b.path] * value / weight) ** 0.5 * (GOOD if b.element.good else 1.0))
     return out
 
 
+def _container(e: Element) -> Element:
+    """The element that a block of flow lies in."""
+    e = e.up or e
+    while e.tag in LISTS and e.up is not None:
+        e = e.up
+    return e
+
+
+def _outermost(e: Element) -> Element | None:
+    """The content element that ``e`` is in, if any."""
+    best = None
+    while e is not None:
+        if e.good:
+            best = e
+        e = e.up
+    return best
+
+
 def main_text(page: str | None) -> str:
     """The page's main text: blocks joined by line breaks."""
     found = blocks(page or "")
     value = scores(found)
-    live = [v for v in value if v > 0]
+    sizes = [len(b.text) for b in found]
+    plain = [v / GOOD if b.element.good else v for b, v in zip(found, value)]
+    live = sum(n for n, v in zip(sizes, plain) if v > 0)
     if not live:
         return ""
-    mean = sum(live) / len(live)
-    spread = (sum((v - mean) ** 2 for v in live) / len(live)) ** 0.5
-    content = [b for b, v in zip(found, value) if v > 0 and v >= mean - 2 * spread]
-    # content elements, where the page names some: the one with the most text
-    named: dict[int, tuple[Element, int]] = {}
-    for b in content:
-        e, best = b.element, None
-        while e is not None:
-            if e.good and (e.up is None or not e.up.good):
-                best = e
-            e = e.up
-        if best is not None:
-            named[id(best)] = (best, named.get(id(best), (best, 0))[1] + len(b.text))
-    if named:
-        root = max(named.values(), key=lambda x: x[1])[0]
-    else:
-        root = content[0].element
-        for b in content[1:]:
-            e = b.element
-            while e.depth > root.depth:
-                e = e.up
-            while root.depth > e.depth:
-                root = root.up
-            while e is not root:
-                e, root = e.up, root.up
-    out = []
-    for b in found:
-        e = b.element
-        while e is not None and e is not root:
-            e = e.up
-        if e is root and not b.element.bad:
-            out.append(b.text)
-    return "\n".join(out)
+    least = LEAST * sum(n * v for n, v in zip(sizes, plain)) / live
+    # by path: blocks, their scores, text, link text; by content element: text, link text, content
+    paths: dict[tuple, list[float]] = defaultdict(lambda: [0, 0.0, 0, 0])
+    for b, n, v in zip(found, sizes, value):
+        t = paths[b.path]
+        t[0], t[1], t[2], t[3] = t[0] + 1, t[1] + v, t[2] + n, t[3] + min(b.linked, n)
+    content = {p for p, (n, v, text, links) in paths.items() if v > 0 and v / n >= least and links < LINKS * text}
+    whole: dict[Element, list] = defaultdict(lambda: [0, 0, False])
+    owner = [None if b.element.bad else _outermost(b.element) for b in found]
+    for b, n, e in zip(found, sizes, owner):
+        if e is not None:
+            t = whole[e]
+            t[0], t[1], t[2] = t[0] + n, t[1] + min(b.linked, n), t[2] or b.path in content
+    keep, prose = [], [not b.element.bad and b.linked < LINKS * n for b, n in zip(found, sizes)]
+    for b, e, ok in zip(found, owner, prose):
+        keep.append(whole[e][2] and whole[e][1] < LINKS * whole[e][0] if e is not None else ok and b.path in content)
+    beside = {_container(b.element) for b, k in zip(found, keep) if k}
+    for k, b in enumerate(found):
+        if not keep[k] and owner[k] is None and prose[k] and b.element.tag in FLOW:
+            keep[k] = _container(b.element) in beside
+    for k in range(len(found) - 2, -1, -1):
+        if keep[k + 1] and prose[k] and found[k].element.tag in HEADINGS:
+            keep[k] = True
+    return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
