@@ -83,3 +83,13 @@ def test_pages_without_names():
     assert main_text(page) == "\n".join(["The tale", *PARAGRAPHS, "short item", "ok"])
     cells = f"<body><table><tr><td bgcolor=x><a href=x>Home</a> <a href=y>News</a></td><td>{text}</td></tr><tr><td>Copyright Example</td></tr></table></body>"
     assert main_text(cells) == "\n".join(PARAGRAPHS)
+
+
+def test_split_articles():
+    a, b, c, d = (f"<p>{x}</p>" for x in PARAGRAPHS)
+    page = f"<body><h1>The tale</h1><div class=entry-content>{a}</div><div class=ad><p>Buy!</p></div><div class=entry-content>{b}{c}</div><p>{PARAGRAPHS[3]}</p></body>"
+    assert main_text(page) == "\n".join(["The tale", *PARAGRAPHS])
+    page = f"<body><h1>The tale</h1><p>{PARAGRAPHS[0]}</p><div class=content>{b}</div><div class=x7>{c}{d}</div></body>"
+    assert main_text(page) == "\n".join(["The tale", *PARAGRAPHS])
+    sections = "".join(f"<section class=story>{x}</section>" for x in (a, b, c, d))
+    assert main_text(f"<body>{sections}<article><a href=x>Another tale</a></article></body>") == "\n".join(PARAGRAPHS)
