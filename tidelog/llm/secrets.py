@@ -2,8 +2,8 @@ r"""Secret scans with an incremental blob ledger.
 
 Every historical version of every path is content-addressed. The ledger holds the pairs of blob
 and rule version that were scanned, with what was found. A scan takes the versions at hand, finds
-the blobs that some rule version has not seen, reads each such blob once, writes the new ledger
-rows, and joins the findings back to all paths that hold the blob.
+the blobs that some rule version has not seen, reads each such blob once, gives the new ledger
+rows to the caller, who keeps them, and joins the findings back to all paths that hold the blob.
 
 All of it is DataFrame expressions. A rule is a pattern; the matches and the pieces of text
 between them come from two built-in functions, and running sums of their lengths are the spans.
