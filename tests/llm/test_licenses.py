@@ -73,3 +73,16 @@ def test_matches_plain_cosine(spark):
 
 def test_empty_table(spark):
     assert result(spark, []) == {}
+
+
+def test_versions_and_variants_are_told_apart(spark):
+    notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    cases = [
+        (notice.format("", 2), "GPL-2.0"), (notice.format("", 3), "GPL-3.0"), (notice.format("Lesser ", 3), "LGPL-3.0"), (notice.format("Affero ", 3), "AGPL-3.0"),
+        (notice.format("", 9), None), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+        ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"), ("SPDX-License-Identifier: CC0-1.0", "CC0-1.0"), ("SPDX-License-Identifier: BSD-4-Clause", None),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+    ]
+    got = result(spark, [(k, f"d{k}/x", t, "") for k, (t, _) in enumerate(cases)])
+    assert [got[k][0] for k in range(len(cases))] == [name for _, name in cases]

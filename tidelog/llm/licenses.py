@@ -49,7 +49,26 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 )
+#: Words that tell versions and variants apart: a match has the same ones of the second kind, and
+#: all of its template's of the first.
+NAMES = "0 1 2 3 4 apache agpl bsd cc0 gpl isc lgpl mit mozilla mpl".split()
+VARIANTS = "affero agpl lesser lgpl nc nd noncommercial noderivatives sa sharealike".split()
 THRESHOLD = 0.8
 SALTS = 32
 
@@ -64,6 +83,12 @@ class Vocabulary:
         self.words = np.unique(hashes)
         self.counts = np.zeros((len(templates), len(self.words)))
         np.add.at(self.counts, (owner, np.searchsorted(self.words, hashes)), 1)
+        names, variants = (self._among(x) for x in (NAMES, VARIANTS))
+        self.needed, self.barred = (self.counts > 0) & (names | variants), (self.counts == 0) & variants
+
+    def _among(self, words: list[str]) -> np.ndarray:
+        """Which words of the vocabulary are these."""
+        return np.isin(self.words, Words([w.encode() for w in words], ALNUM, lower=True).hashes())
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word in the vocabulary, or -1."""
@@ -99,6 +124,7 @@ def _match(vocabulary: Vocabulary, idf: np.ndarray, other: float, threshold: flo
     templates = vocabulary.counts * idf
     templates /= np.linalg.norm(templates, axis=1, keepdims=True)
     order = np.argsort(np.array(vocabulary.names), kind="stable")
+    needs = vocabulary.needed.sum(axis=1)
 
     def units(words: Words, unit: np.ndarray, numbers: np.ndarray):
         """(unit, cosine, template) of units that reach the threshold."""
@@ -120,6 +146,9 @@ def _match(vocabulary: Vocabulary, idf: np.ndarray, other: float, threshold: flo
         for k in np.flatnonzero(some).tolist():
             a, b = bounds[k], bounds[k + 1]
             cosine = (templates[order][:, word[a:b]] @ value[a:b]) / norm[k]
+            has = word[a:b]
+            fits = (vocabulary.needed[:, has].sum(axis=1) == needs) & ~vocabulary.barred[:, has].any(axis=1)
+            cosine = np.where(fits[order], cosine, 0.0)
             best = int(cosine.argmax())
             if cosine[best] >= threshold:
                 yield int(ids[k]), float(cosine[best]), vocabulary.names[order[best]]
