@@ -136,6 +136,27 @@ def test_places(spark):
     assert sorted(tuple(r) for r in layout.place(df, F.col("x").desc()).collect()) == [(100 - n, n) for n in range(100, -1, -1)]
 
 
+def test_places_of_many_wide_rows(spark):
+    rows = spark.range(100_000).select(F.xxhash64("id").alias("x"), F.repeat(F.lit("v"), 1500).alias("value"), F.col("id").alias("place_before"))
+    placed = layout.place(rows.repartition(16), F.col("x"))
+    assert placed.columns == ["x", "value", "place_before", "place"]
+    got = placed.agg(F.count("place"), F.countDistinct("place"), F.min("place"), F.max("place")).first()
+    assert tuple(got) == (100_000, 100_000, 0, 99_999)
+    least, most = (placed.where(c).agg(F.max("x"), F.min("x")).first() for c in ("place < 40000", "place >= 40000"))
+    assert least[0] <= most[1]
+    assert layout.place(rows.where("false"), F.col("x")).collect() == []
+
+
+def test_lookups_over_many_ranges(spark):
+    keys_ = spark.range(60_000).select(F.format_string("k%08d", "id").alias("key"), (F.col("id") + 1).alias("seq"))
+    index = layout.block_index(keys_, 50).select("last_key", F.col("block").cast("long").alias("block"))
+    assert index.count() == 1200
+    probes = spark.range(0, 61_000, 3).select(F.format_string("k%08d", "id").alias("key"), F.col("id").alias("n"))
+    found = layout.index_find(index, probes.select("key").repartition(16)).join(probes, "key")
+    wrong = found.where("not (block <=> if(n < 60000, cast(floor(n / 50) as bigint), null))")
+    assert found.count() == probes.count() and wrong.isEmpty()
+
+
 def test_codecs():
     assert layout.writer_options("zstd", 10)["parquet.bloom.filter.expected.ndv#key"] == "10"
     from tidelog.model import Options

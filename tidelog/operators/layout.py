@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import shared_prefix, versions_first
+from ..functions.shared import checkpoint
 from ..model import CODECS
 from .reads import entry_bytes
 
@@ -17,15 +18,20 @@ RESTART_EVERY = 16
 def place(df: DataFrame, *order: Column) -> DataFrame:
     """Adds ``place``, the number of rows before each in a total order, without one task that sorts all.
 
-    Rows are sorted by ranges and each adds the rows of the ranges before: one count for each.
-    Rows that are equal in ``order`` lie in one range.
+    Rows are sorted by ranges and written once with the range that they are in; each then adds the
+    rows of the ranges before: one count for each range, so their join is a broadcast of as many
+    rows as there are partitions. Counts and rows come from the same files: were the ranges made
+    anew for each use, other bounds could be drawn for each. Rows that are equal in ``order`` lie
+    in one range, in any order.
     """
-    rows = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    counts = rows.groupBy("__p").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    rows = rows.withColumn("__i", inside).join(counts.select("__p", before.alias("__b")), "__p")
-    return rows.withColumn("place", F.col("__b") + F.col("__i")).drop("__p", "__i", "__b")
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    rows = checkpoint(rows)
+    part, inside = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("__part")).count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = F.broadcast(counts.select("__part", before.alias("__before")))
+    placed = rows.join(counts, part == F.col("__part"))
+    return placed.select(*df.columns, (F.col("__before") + inside).alias("place"))
 
 
 def rotation_runs(log: DataFrame, write_buffer_size: int) -> DataFrame:
@@ -81,11 +87,12 @@ def index_find(index: DataFrame, probes: DataFrame) -> DataFrame:
     Both are put in one order by ranges and each probe takes the next block's number; a probe
     after the last block of its range takes the first block of the ranges behind. That is one
     sort, where an inequality join would compare every probe with every block. ``index`` is of
-    one run.
+    one run. The ranges are written once, since both uses must see the same ones.
     """
     blocks = index.select(F.col("last_key").alias("key"), "block", F.lit(1).alias("kind"))
     asked = probes.select("key", F.lit(None).cast("long").alias("block"), F.lit(0).alias("kind"))
-    both = blocks.unionByName(asked).repartitionByRange("key").sortWithinPartitions("key", "kind").withColumn("p", F.spark_partition_id())
+    both = blocks.unionByName(asked).repartitionByRange("key").sortWithinPartitions("key", "kind")
+    both = checkpoint(both.withColumn("p", F.spark_partition_id()))
     # in order of key, probes come before a block with an equal last key
     ahead = Window.partitionBy("p").orderBy("key", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     found = both.withColumn("found", F.first("block", ignorenulls=True).over(ahead)).where("kind = 0")
@@ -93,7 +100,7 @@ def index_find(index: DataFrame, probes: DataFrame) -> DataFrame:
     firsts = both.groupBy("p").agg(F.min("block").alias("first"))
     behind = Window.orderBy("p").rowsBetween(1, Window.unboundedFollowing)
     firsts = firsts.select("p", F.first("first", ignorenulls=True).over(behind).alias("later"))
-    return found.join(firsts, "p").select("key", F.coalesce("found", "later").alias("block"))
+    return found.join(F.broadcast(firsts), "p").select("key", F.coalesce("found", "later").alias("block"))
 
 
 def bloom_size(n: int) -> tuple[int, int]:
