@@ -26,7 +26,8 @@ LOG_SCHEMA = T.StructType(
 
 @dataclass(frozen=True)
 class Options:
-    """``write_buffer_size``: bytes of pending changes after which a store flushes by itself."""
+    """A buffer of pending changes is sealed at ``write_buffer_size`` bytes; when ``max_pending_runs``
+    sealed ones wait, the oldest is flushed."""
 
     write_buffer_size: int = 64 << 20
     max_pending_runs: int = 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from ..errors import StoreError
@@ -56,9 +57,33 @@ class Folder:
             stream.hsync()
         finally:
             stream.close()
-        if self.fs.exists(target) or not self.fs.rename(part, target):
+        if not self._take_name(part, target):
             self.fs.delete(part, False)
             raise StoreError(f"{target.toString()} was written by someone else")
 
+    def _take_name(self, part, target) -> bool:
+        """Give a written file its name, unless there is one of that name.
+
+        A local file system overwrites on rename, so the name is taken by a link, which one writer
+        alone can make. HDFS refuses to rename onto a file. Stores without a rename that refuses
+        (plain object stores) need a single writer.
+        """
+        if self.fs.getScheme() != "file":
+            return not self.fs.exists(target) and self.fs.rename(part, target)
+        files, paths = self.jvm.java.nio.file.Files, self.jvm.java.nio.file.Paths
+        local = lambda path: paths.get(self.fs.makeQualified(path).toUri())
+        try:
+            files.createLink(local(target), local(part))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        self.fs.delete(part, False)
+        return True
+
+    def age_ms(self, *names: str) -> int:
+        """Milliseconds since a file or folder was last changed, by this machine's clock."""
+        return self.jvm.java.lang.System.currentTimeMillis() - self.fs.getFileStatus(self.at(*names)).getModificationTime()
+
     def delete(self, *names: str) -> None:
         self.fs.delete(self.at(*names), True)

@@ -9,22 +9,25 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.store import KVStore
 
 
-def ingest(stream: DataFrame, store: KVStore, order: list[str], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def apply_batch(store: KVStore, order: list[str], name: str):
+    """What ``ingest`` does with each micro-batch: a function of the batch and its number."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        store.apply_df(batch, order, (name, batch_id))
+
+    return apply
+
+
+def ingest(
+    stream: DataFrame, store: KVStore, order: list[str], checkpoint: str, trigger: dict | None = None, name: str | None = None
+) -> StreamingQuery:
     """Write each micro-batch of (key, op, value, and ``order``) as one run at level 0.
 
-    A batch that is delivered again after a failure is applied again with higher sequence numbers
-    and the same last state of each key. Admission is the source's (maxFilesPerTrigger and such).
+    The batch's number is committed with its run under the stream's ``name`` (else its checkpoint
+    folder), so a batch that is delivered again after a failure adds nothing. Admission is the
+    source's (maxFilesPerTrigger and such).
     """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            if not batch.isEmpty():
-                store.apply_df(batch, order)
-        finally:
-            batch.unpersist()
-
-    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(apply_batch(store, order, name or checkpoint)).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
