@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from tidelog.plans import kv_queries
+from tidelog.plans import kv_queries, store_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,16 +15,23 @@ def test_entry_runs(spark):
     assert df.columns == ["key", "value", "place"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(kv_queries.oracle_sql()))
+QUERIES, SQL = kv_queries.queries() | store_queries.queries(), kv_queries.oracle_sql() | store_queries.oracle_sql()
+
+
+def test_every_query_has_sql():
+    assert QUERIES.keys() == SQL.keys()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("events", "lineitem", "orders", "conversations", "customer"):
+    for t in ("events", "lineitem", "orders", "conversations", "customer", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got = kv_queries.queries()[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     columns = sorted(got.columns)
-    cursor = con.execute(kv_queries.oracle_sql()[name])
+    cursor = con.execute(SQL[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     expected = [tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()]

@@ -11,6 +11,7 @@ from tidelog.sources import manifest
 from tidelog.sources.checked import CheckedStore, Mismatch
 from tidelog.sources.files import Folder
 from tidelog.sources.store import KVStore
+from tidelog.sources.wal import replay_files
 from tidelog.streaming.ingest import apply_batch, ingest, latest_state
 
 QUIET = Options(run_partitions=1, auto_compact=False)
@@ -324,3 +325,11 @@ def test_bounds_reach_the_files(spark, tmp_path):
     assert "GreaterThanOrEqual(key" in pushed and "LessThan(key" in pushed and "LessThanOrEqual(seq,9)" in pushed
     assert len(store.log(b"a1", b"a3").inputFiles()) == 1  # the other run can't hold such keys
     assert [k for k, _ in scanned(store, b"a1", b"a3")] == [b"a1", b"a2"]
+
+
+def test_log_files_are_read_by_executors(spark, tmp_path):
+    store = KVStore.open(spark, str(tmp_path), QUIET)
+    store.write_many([(b"a", PUT, b"1"), (b"b", PUT, b"2")])
+    store.delete(b"a")
+    got = sorted((bytes(r["key"]), r["seq"], r["op"]) for r in replay_files(spark, store.folder.uri("wal")).collect())
+    assert got == [(b"a", 1, PUT), (b"a", 3, DELETE), (b"b", 2, PUT)]

@@ -68,6 +68,19 @@ def frame_crc(data) -> Column:
     return F.crc32(_col(data).cast("binary"))
 
 
+def little_endian(n) -> Column:
+    """A number as four little-endian bytes."""
+    h = F.lpad(F.hex(_col(n).cast("long")), 8, "0")
+    return F.unhex(F.concat(*[F.substring(h, at, 2) for at in (7, 5, 3, 1)]))
+
+
+def frame(key, seq, op, value) -> Column:
+    """A whole log frame: type, length, payload of internal key and value, checksum."""
+    inner, value = encode(key, seq, op), _col(value).cast("binary")
+    payload = F.concat(little_endian(F.octet_length(inner)), inner, little_endian(F.octet_length(value)), value)
+    return F.concat(F.unhex(F.lit("01")), little_endian(F.octet_length(payload)), payload, little_endian(frame_crc(payload)))
+
+
 def bloom_bits(n) -> Column:
     """Bits of a filter for n keys at one false positive in a hundred: 64 at least, in whole bytes."""
     n = _col(n)

@@ -81,26 +81,42 @@ def block_index(log: DataFrame, block_entries: int, *by: str) -> DataFrame:
     return rows.groupBy(*by, "block").agg(F.max("key").alias("last_key"), F.count(F.lit(1)).alias("entries"))
 
 
-def index_find(index: DataFrame, probes: DataFrame) -> DataFrame:
-    """For each probe the first block whose last key is at or after it; no block if it is past all.
+def seek(entries: DataFrame, probes: DataFrame, *payload: str) -> DataFrame:
+    """For each probe (a column key) the ``payload`` of the first entry at or after it; nulls if it is past all.
 
-    Both are put in one order by ranges and each probe takes the next block's number; a probe
-    after the last block of its range takes the first block of the ranges behind. That is one
-    sort, where an inequality join would compare every probe with every block. ``index`` is of
-    one run. The ranges are written once, since both uses must see the same ones.
+    Among entries of one key the first in ``payload``'s order is taken. Both are put in one order
+    by ranges, and each probe takes the next entry; one after the last entry of its range takes
+    the first of the ranges behind. That is one sort, where an inequality join would compare every
+    probe with every entry. The ranges are written once, since both uses must see the same ones.
     """
-    blocks = index.select(F.col("last_key").alias("key"), "block", F.lit(1).alias("kind"))
-    asked = probes.select("key", F.lit(None).cast("long").alias("block"), F.lit(0).alias("kind"))
-    both = blocks.unionByName(asked).repartitionByRange("key").sortWithinPartitions("key", "kind")
+    held = entries.select("key", F.struct(*payload).alias("found"), F.lit(1).alias("kind"))
+    asked = probes.select("key", F.lit(None).cast(held.schema["found"].dataType).alias("found"), F.lit(0).alias("kind"))
+    both = held.unionByName(asked).repartitionByRange("key").sortWithinPartitions("key", "kind", "found")
     both = checkpoint(both.withColumn("p", F.spark_partition_id()))
-    # in order of key, probes come before a block with an equal last key
-    ahead = Window.partitionBy("p").orderBy("key", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("found", F.first("block", ignorenulls=True).over(ahead)).where("kind = 0")
+    # in order of key, probes come before an entry with an equal key
+    ahead = Window.partitionBy("p").orderBy("key", "kind", "found").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    near = both.withColumn("found", F.first("found", ignorenulls=True).over(ahead)).where("kind = 0")
     # one row for each range, so as many as there are partitions
-    firsts = both.groupBy("p").agg(F.min("block").alias("first"))
+    firsts = both.where("kind = 1").groupBy("p").agg(F.min(F.struct("key", "found")).alias("first"))
+    firsts = both.groupBy("p").count().join(firsts, "p", "left")
     behind = Window.orderBy("p").rowsBetween(1, Window.unboundedFollowing)
-    firsts = firsts.select("p", F.first("first", ignorenulls=True).over(behind).alias("later"))
-    return found.join(F.broadcast(firsts), "p").select("key", F.coalesce("found", "later").alias("block"))
+    firsts = firsts.select("p", F.first("first.found", ignorenulls=True).over(behind).alias("later"))
+    out = near.join(F.broadcast(firsts), "p").select("key", F.coalesce("found", "later").alias("found"))
+    return out.select("key", *[F.col(f"found.{c}").alias(c) for c in payload])
+
+
+def index_find(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """For each probe the first block whose last key is at or after it; no block if it is past all.
+
+    ``index`` (last_key, block) is of one run.
+    """
+    return seek(index.select(F.col("last_key").alias("key"), "block"), probes, "block")
+
+
+def block_seek(log: DataFrame, probes: DataFrame) -> DataFrame:
+    """For each probe the first entry in internal-key order whose key is at or after it: found, seq."""
+    newest = log.groupBy("key").agg(F.max("seq").alias("seq"))  # stands first among its versions
+    return seek(newest.withColumn("at", F.col("key")), probes, "at", "seq").withColumnRenamed("at", "found")
 
 
 def bloom_size(n: int) -> tuple[int, int]:

@@ -99,6 +99,10 @@ def kv_scan_range_wide(spark, sf_dir):
     return _placed(reads.scan(li(spark, sf_dir), *LI), "key", "value")
 
 
+def kv_scan_all(spark, sf_dir):
+    return _placed(reads.scan(li(spark, sf_dir), "", "~"), "key", "value")
+
+
 def kv_scan_as_of(spark, sf_dir):
     return _placed(reads.scan(ev(spark, sf_dir), *EV, as_of=AS_OF), "key", "value")
 
@@ -212,8 +216,8 @@ def kv_memtable_bytes(spark, sf_dir):
 
 
 def kv_rotation_runs(spark, sf_dir):
-    """Sixteen shards by key, each with a buffer of 4 KiB."""
-    log = ev(spark, sf_dir).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(16)))
+    """Sixteen shards by user, each with a buffer of 4 KiB."""
+    log = ev(spark, sf_dir).withColumn("shard", F.substring("key", 6, 6).cast("long") % 16)
     return layout.rotation_runs(log, 4096).groupBy("shard", "run").agg(F.count(F.lit(1)).alias("entries"), F.sum("bytes").alias("bytes"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
 
 
@@ -247,11 +251,6 @@ def kv_index_find(spark, sf_dir):
     return layout.index_find(index, _wanted(spark, sf_dir)).select("key", F.coalesce("block", F.lit(-1)).alias("block"))
 
 
-def kv_wal_replay(spark, sf_dir):
-    log = ev(spark, sf_dir)
-    return reads.latest(log.unionByName(log)).selectExpr("key", "seq", "cast(op AS int) AS op", "value")
-
-
 def kv_wal_crc(spark, sf_dir):
     return ev(spark, sf_dir).select("key", "seq", keys.frame_crc("value").alias("crc"))
 
@@ -269,7 +268,27 @@ _PREFIX = "SELECT key, value, row_number() OVER (ORDER BY key) AS place FROM lat
 _WANTED_SQL = "wanted AS (SELECT 'user:' || lpad(c_custkey::VARCHAR, 6, '0') AS key FROM customer)"
 _BYTES = "strlen(key) + 8 + strlen(value)"
 
+#: Each shard's entries in order; the fold carries the run's number and the bytes held.
+_ROTATION_SQL = "WITH RECURSIVE " + _with(
+    "ev",
+    f"""s AS (SELECT substr(key, 6, 6)::BIGINT % 16 AS shard, seq, {_BYTES} AS bytes FROM log),
+    o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS i FROM s),
+    f AS (SELECT shard, i, seq, bytes, 0::BIGINT AS run, bytes AS held FROM o WHERE i = 1
+          UNION ALL
+          SELECT o.shard, o.i, o.seq, o.bytes, CASE WHEN f.held >= 4096 THEN f.run + 1 ELSE f.run END, CASE WHEN f.held >= 4096 THEN 0 ELSE f.held END + o.bytes
+          FROM f JOIN o ON o.shard = f.shard AND o.i = f.i + 1)
+    SELECT shard, run, count(*) AS entries, sum(bytes)::BIGINT AS bytes, min(seq) AS min_seq, max(seq) AS max_seq FROM f GROUP BY shard, run""",
+).removeprefix("WITH ")
+#: CRC-32 by the table of its polynomial, over the bytes of the hex form.
+_CRC_SQL = _with(
+    "ev",
+    """t AS (SELECT list(list_reduce([n::BIGINT] || [8::BIGINT, 7, 6, 5, 4, 3, 2, 1], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) AS r(n)),
+    b AS (SELECT key, seq, [4294967295::BIGINT] || list_transform(range(1, strlen(value) + 1), lambda k: ('0x' || substr(hex(value), 2 * k - 1, 2))::BIGINT) AS b FROM log)
+    SELECT key, seq, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295::BIGINT) AS crc FROM b, t""",
+)
+
 _QUERIES = {
+    "kv_scan_all": (kv_scan_all, _scan_sql("li", ("", "~"))),
     "kv_scan_range": (kv_scan_range, _scan_sql("ev", EV)),
     "kv_scan_range_wide": (kv_scan_range_wide, _scan_sql("li", LI)),
     "kv_scan_as_of": (kv_scan_as_of, _scan_sql("ev", EV, f"seq <= {AS_OF}")),
@@ -295,7 +314,7 @@ _QUERIES = {
     "kv_run_stats": (kv_run_stats, _with("ev", f"""r AS (SELECT *, (seq - 1) // 1000 AS run FROM log) SELECT run, count(*) AS entries, sum(op)::BIGINT AS tombstones, min(key) AS min_key, max(key) AS max_key,
         min(seq) AS min_seq, max(seq) AS max_seq, sum({_BYTES})::BIGINT AS bytes FROM r GROUP BY run""")),
     "kv_memtable_bytes": (kv_memtable_bytes, _with("ev", f"s AS (SELECT 1) SELECT sum({_BYTES})::BIGINT AS bytes, count(*) AS entries FROM log")),
-    "kv_rotation_runs": (kv_rotation_runs, None),
+    "kv_rotation_runs": (kv_rotation_runs, _ROTATION_SQL),
     "kv_internal_key_encode": (kv_internal_key_encode, _with("ev", "s AS (SELECT 1) SELECT key, seq, hex(key) || printf('%016X', seq * 256 + op) AS encoded FROM log")),
     "kv_internal_key_decode": (kv_internal_key_decode, _with("ev", "s AS (SELECT 1) SELECT key, seq, op::INT AS op FROM log")),
     "kv_internal_key_order": (kv_internal_key_order, _with("ev", "s AS (SELECT 1) SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq DESC)::INT AS place FROM log")),
@@ -308,8 +327,7 @@ _QUERIES = {
     "kv_index_find": (kv_index_find, _with("ev", f"""b AS (SELECT (row_number() OVER (ORDER BY key, seq DESC) - 1) // 64 AS block, key FROM log),
         i AS (SELECT block, max(key) AS last_key FROM b GROUP BY block), {_WANTED_SQL}
         SELECT wanted.key, coalesce(min(block), -1)::BIGINT AS block FROM wanted LEFT JOIN i ON last_key >= wanted.key GROUP BY wanted.key""")),
-    "kv_wal_replay": (kv_wal_replay, _merged_sql("ev")),
-    "kv_wal_crc": (kv_wal_crc, None),
+    "kv_wal_crc": (kv_wal_crc, _CRC_SQL),
 }
 
 

@@ -10,8 +10,13 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..errors import CorruptionError
-from ..model import DELETE, MAX_SEQ, PUT
+from ..functions import keys
+from ..model import DELETE, LOG_SCHEMA, MAX_SEQ, PUT
 
 #: Frame types; only whole entries are written.
 FULL, FIRST, MIDDLE, LAST = 1, 2, 3, 4
@@ -79,3 +84,47 @@ def replay(data: bytes) -> Iterator[Entry]:
     for kind, payload in frames(data):
         if kind == FULL:
             yield decode_entry(payload)
+
+
+def write_segments(log: DataFrame, path: str, entries: int = 1000) -> None:
+    """Write a change log as segments of so many sequence numbers each: rows of segment and data, its frames.
+
+    Frames are made by expressions; a task then lays those of a segment end to end.
+    """
+    assert entries > 0
+    rows = log.select(F.floor(F.col("seq") / entries).cast("long").alias("segment"), "seq", keys.frame("key", "seq", "op", "value").alias("frame"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for segment, data in zip(batch.column("segment").to_pylist(), batch.column("frame").to_pylist()):
+                if segment != now and held:
+                    yield pa.record_batch({"segment": pa.array([now], pa.int64()), "data": pa.array([b"".join(held)], pa.binary())})
+                    held = []
+                now = segment
+                held.append(data)
+        if held:
+            yield pa.record_batch({"segment": pa.array([now], pa.int64()), "data": pa.array([b"".join(held)], pa.binary())})
+
+    rows = rows.repartition("segment").sortWithinPartitions("segment", "seq")
+    rows.select("segment", "frame").mapInArrow(joined, "segment long, data binary").write.mode("error").parquet(path)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column("data").to_pylist():
+            found = list(replay(data or b""))
+            columns = zip(*found) if found else ([], [], [], [])
+            kinds = (pa.binary(), pa.int64(), pa.int8(), pa.binary())
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["key", "seq", "op", "value"])
+
+
+def replay_segments(segments: DataFrame) -> DataFrame:
+    """The entries of segments (a column data); each segment ends at its first torn or damaged frame."""
+    return segments.select("data").mapInArrow(_entries, LOG_SCHEMA)
+
+
+def replay_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """The entries of a store's log files, read by the executors; ``pattern`` is a folder or a glob."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(pattern)
+    return replay_segments(files.select(F.col("content").alias("data")))
