@@ -15,6 +15,14 @@ def words_of(text):
     return re.findall("[^\x20\x09-\x0d]+", text or "")
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two words of 2**n letters that agree in every polynomial hash modulo 2**64, for n from 11 on at the latest."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
 def substring_dedup(docs, window=35):
     words = [(i, words_of(t)) for i, t in docs]
     seen = Counter(tuple(w[k : k + window]) for _, w in words for k in range(len(w) - window + 1))

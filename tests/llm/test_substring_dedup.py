@@ -1,6 +1,6 @@
 import random
 
-from tests.llm.brute import substring_dedup
+from tests.llm.brute import substring_dedup, thue_morse
 from tidelog.llm.substring_dedup import COVERS, dedup_substrings
 
 COLUMNS = ("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -37,3 +37,12 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert result(spark, [], 35) == []
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    x, y = thue_morse(11)
+    before, after = ([f"{c}{k}" for k in range(60)] for c in "uv")
+    docs = [(1, " ".join([*before[:20], x, *after[:20], "one"])), (2, " ".join([*before[:20], y, *after[:20], "two"]))]
+    docs += [(3, " ".join([*before[20:], x, *after[20:], "three"])), (4, " ".join([*before[20:], x, *after[20:], "four"]))]
+    got = result(spark, [(i, t, "clash", 1) for i, t in docs], 35)
+    assert got == substring_dedup(docs, 35) and [r[2] for r in got] == [0, 0, 81, 81]

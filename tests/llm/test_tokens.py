@@ -6,7 +6,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidelog.llm import bitplane, packing
+from tests.llm.brute import thue_morse
+from tidelog.llm import bitplane, packing, tokens
 from tidelog.llm.tokens import Encoder, tokenizer_json
 
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -40,6 +41,19 @@ def test_encoder_gives_the_tokenizers_ids(path):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_pieces_are_known_by_their_bytes(path, monkeypatch):
+    plain, own = Tokenizer.from_file(path), Encoder(tokenizer_json(path))
+    some = [f"x {t} y" for n in (10, 11) for t in thue_morse(n)]
+    # lengths about those that fit in a key, with bytes that a mask could hide
+    some += [" ".join(["w" * n, "w" * (n - 1) + "\0", "w" * n + "\0", "é" * n, "wé" * n]) for n in range(1, 20)]
+    for most in (tokens.LONG_BYTES, 0):
+        monkeypatch.setattr(tokens, "LONG_BYTES", most)
+        for _ in range(2):
+            for got, text in zip(own.encode([t.encode() for t in some]), some):
+                assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 @pytest.mark.parametrize("n", [0, 1, 7, 8192, 8193, 20_000])
 def test_chunks_round_trip(planes, n):

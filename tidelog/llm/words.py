@@ -1,8 +1,10 @@
 """Vectorised word scanning over Arrow batches.
 
 A batch of texts becomes one byte buffer with a separator after every text. Word bounds come
-from a byte-class table and word hashes from prefix sums of a polynomial modulo 2**64, so the
-cost is a few array passes per byte and there is no Python step per word.
+from a byte-class table. Words are hashed eight bytes at a time, all words at once; windows of
+words by doubling, from windows of half the size. No hash is a polynomial, for which texts with
+equal hashes can be built from repetition alone; words of up to eight bytes and of one length
+never share a hash. There is no Python step per word, but for words over LONG bytes.
 """
 
 from __future__ import annotations
@@ -12,38 +14,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 
 SPACE = 0x20
 #: Bytes of text that are scanned at a time; one longer text is scanned alone.
 SLICE_BYTES = 2_000_000
+#: What a longer word has beyond so many bytes is hashed by XXH3.
+LONG = 256
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_WINDOW_BASES = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
-
-
-def _inverse(x: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(x), -1, 1 << 64))
-
-
-class _Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = n + n // 8
-            for name, b in (("up", self.base), ("down", _inverse(self.base))):
-                p = np.full(size, b, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS, _BYTE_POWERS_2 = _Powers(_BASE), _Powers(np.uint64(0xC2B2AE3D27D4EB4F))
-_WORD_POWERS = tuple(_Powers(b) for b in _WINDOW_BASES)
-_TABLE, _TABLE_2 = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Start values of independent hashes.
+_SEEDS = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,6 +37,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def lanes(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, as one number; the buffer ends in eight spare bytes."""
+    return np.ndarray((len(padded) - 7,), "<u8", buffer=padded, strides=(1,))
+
+
+def hash_spans(padded: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    from_place, size = lanes(padded), end - start
+    out = mix(size.astype(np.uint64) * _ODD + _SEEDS[seed])
+    left, done = np.flatnonzero(size > 0), 0
+    while len(left) and done < LONG:
+        room = size[left] - done
+        lane = from_place[start[left] + done] & _MASKS[np.minimum(room, 8)]
+        out[left] = mix(out[left] ^ lane)
+        left, done = left[room > 8], done + 8
+    for k in left.tolist():
+        rest = xxhash.xxh3_64_intdigest(padded[start[k] + LONG : end[k]].tobytes(), int(_SEEDS[seed]))
+        out[k] ^= np.uint64(rest)
+    return out
+
+
 #: Bytes that are part of words, as the class [^\x20\x09-\x0D].
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -69,9 +72,10 @@ class Words:
     """The words of some texts: ``start``/``end`` bytes in ``data``, and ``first`` word of each text."""
 
     def __init__(self, texts: list[bytes], word_bytes: np.ndarray, lower: bool):
-        buffer = b" ".join(texts) + b" "
-        data = np.frombuffer(buffer, np.uint8)
-        self.data = data = LOWER[data] if lower else data
+        buffer = b" ".join(texts) + b" " + bytes(8)
+        padded = np.frombuffer(buffer, np.uint8)
+        self.padded = padded = LOWER[padded] if lower else padded
+        self.data = data = padded[:-8]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text_start = np.concatenate(([0], np.cumsum(sizes)))
         inside = word_bytes[data].view(np.int8)
@@ -93,29 +97,25 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        up, down = _BYTE_POWERS.upto(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_TABLE[self.data] * up[:-1], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
-
-
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the bytes of each span, by tables and bases of their own."""
-    out = []
-    for table, powers in ((_TABLE, _BYTE_POWERS), (_TABLE_2, _BYTE_POWERS_2)):
-        up, down = powers.upto(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(table[data] * up[:-1], out=total[1:])
-        out.append(mix((total[end] - total[start]) * down[start]))
-    return out[0], out[1]
+        return hash_spans(self.padded, self.start, self.end)
 
 
 def window_hashes(hashes: np.ndarray, size: int, at: np.ndarray, family: int = 0) -> np.ndarray:
-    """A 64-bit hash of the ``size`` word hashes from each word number in ``at``."""
-    up, down = _WORD_POWERS[family].upto(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[:-1], out=total[1:])
-    return mix((total[at + size] - total[at]) * down[at])
+    """A 64-bit hash of the ``size`` word hashes from each word number in ``at``.
+
+    Windows of 1, 2, 4, ... words are hashed at every place, each from two of half its size, and
+    those that make up ``size`` are taken together.
+    """
+    out = np.full(len(at), _SEEDS[family], np.uint64)
+    level, width, done = mix(hashes + _SEEDS[family]), 1, 0
+    while done < size:
+        if size & width:
+            out = mix(out * _ODD + level[at + done])
+            done += width
+        if done < size:
+            level = mix(level[:-width] * _ODD + level[width:])
+            width *= 2
+    return out
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
