@@ -6,7 +6,9 @@ function runs. Repeated three-word windows are found by sorting hashes of a text
 their places, which costs n log n for a text of n words.
 
 Edge cases: a null text has no words and fails; so does an empty one. Lines without a word are no
-duplicates. Repeated rows are judged each by itself. Other columns of the input are ignored.
+duplicates. Repeated rows are judged each by itself. An empty table gives none. A very long text
+is judged whole, in one task. Other columns of the input are ignored, or, by ``keep_good``, given
+back whatever their names.
 """
 
 from __future__ import annotations
@@ -16,16 +18,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried, field, restored
+
 
 @dataclass(frozen=True)
 class Threshold:
-    """A text fails if ``measure`` is ``fails`` (below or above) ``limit`` and has ``least_words``."""
+    """A text fails if ``measure`` is ``fails`` (below or above) ``limit``."""
 
     name: str
     measure: str
     fails: str
     limit: float
-    least_words: int = 0
 
 
 #: The production table. Base rules first.
@@ -38,7 +41,6 @@ THRESHOLDS = (
     Threshold("words_too_long", "mean_word", "above", 18.0),
     Threshold("no_stop_words", "n_stop_words", "below", 2),
 )
-BASE = ("too_short", "repeats_windows")
 
 #: Common words of the languages that are kept; fixed values.
 STOP_WORDS = tuple(
@@ -56,14 +58,13 @@ _PLACES = """sort_array(filter(transform(__sorted, (s, i) -> if(
     (i > 0 and get(__sorted, i - 1).h = s.h) or (i + 1 < size(__sorted) and get(__sorted, i + 1).h = s.h), s.p, null)), p -> p is not null))"""
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Base counts of each row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_lines, n_stop_words.
 
-    ``carry`` names columns of the input that come along as the struct ``row``.
+    With ``carry`` the columns of the input come along as the struct ``row``, as ``carried`` makes it.
     """
-    row = [F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []
     keep = ["row"] if carry else []
-    df = docs.select(*row, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    df = carried(docs).select(*keep, field(docs, id_col).alias("doc_id"), F.coalesce(field(docs, text_col).cast("string"), F.lit("")).alias("text"))
     blank = r"\x20\x09-\x0D"
     words = F.split(F.regexp_replace("text", rf"^[{blank}]+|[{blank}]+$", ""), rf"[{blank}]+")
     df = df.withColumn("words", F.filter(words, lambda w: w != ""))
@@ -112,11 +113,10 @@ RATIOS = {
 def fails(rule: Threshold) -> Column:
     """Whether a row with the measures fails the rule."""
     value = RATIOS[rule.measure]()
-    out = value < rule.limit if rule.fails == "below" else value > rule.limit
-    return out & (F.col("n_words") >= rule.least_words)
+    return value < rule.limit if rule.fails == "below" else value > rule.limit
 
 
-def judge(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Measures, ``failed`` (names of the rules that the row fails), base_failed and kept."""
     df = measures(docs, id_col, text_col, carry)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -127,5 +127,4 @@ def judge(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, id_co
 
 def keep_good(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, columns as before."""
-    judged = judge(docs, thresholds, id_col, text_col, tuple(docs.columns))
-    return judged.where("kept").select("row.*")
+    return restored(judge(docs, thresholds, id_col, text_col, carry=True).where("kept"), docs)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components
+from .common import carried, checkpoint, connected_components, field, restored, salted, salts
 from .words import NOT_SPACE, SPACE, Words, mix, text_slices
 
 SEED = 42
@@ -117,28 +117,56 @@ def block_masks(distance: int, spare: int) -> list[int]:
     return [_signed(sum(choice)) for choice in combinations(blocks, spare)]
 
 
-def _components(keyed: DataFrame, node: str, close) -> DataFrame:
-    """Components of the nodes that share a bucket and are close; columns (node, component).
+#: Tasks among which the members of one bucket are dealt.
+SALTS = 8
 
-    ``keyed`` has bucket and ``node``; ``close(a, b)`` compares two aliased rows. Nodes without a
-    link are left out.
+
+def _in_buckets(keyed: DataFrame, *columns: str) -> DataFrame:
+    """Rows of ``keyed`` (bucket, node and ``columns``) whose bucket has several, with the bucket's least as ``least``.
+
+    Buckets are summed in each task first; a bucket's rows then meet its least in SALTS tasks.
+    """
+    least = F.min(F.struct("node", *columns)).alias("least")
+    buckets = keyed.groupBy("bucket").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    buckets = buckets.withColumn("salt", F.explode(salts(SALTS)))
+    return checkpoint(keyed.withColumn("salt", salted(SALTS, "node")).join(buckets, ["bucket", "salt"]).drop("salt"))
+
+
+def _across(shared: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs a, b of members of one bucket whose components (node, c1) differ, smaller component first.
+
+    Every member counts, since any may link two components. One side is dealt over SALTS tasks,
+    and the other goes to each of them.
     """
-    buckets = keyed.groupBy("bucket").agg(F.min(node).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = checkpoint(keyed.join(buckets, "bucket"))
-    same = F.col("a.bucket") == F.col("b.bucket")
-    a, b = shared.alias("a"), shared.where(F.col(node) == F.col("least")).alias("b")
-    star = a.join(b, same & (F.col(f"a.{node}") > F.col(f"b.{node}")) & close("a", "b"))
-    star = star.select(F.col(f"a.{node}").alias("x"), F.col(f"b.{node}").alias("y"))
-    near = connected_components(star, "x", "y").select(F.col("node").alias(node), F.col("component").alias("c1"))
-    near = checkpoint(near)
-    labelled = shared.join(near, node, "left").withColumn("c1", F.coalesce("c1", node))
-    a, b = labelled.alias("a"), labelled.alias("b")
-    across = a.join(b, same & (F.col("a.c1") < F.col("b.c1")) & close("a", "b"))
-    across = across.select(F.col("a.c1").alias("cx"), F.col("b.c1").alias("cy"))
-    far = connected_components(across, "cx", "cy").select(F.col("node").alias("c1"), F.col("component").alias("c2"))
-    alone = far.join(near, "c1", "left_anti").select(F.col("c1").alias(node), "c1")
-    members = near.unionByName(alone)
-    return members.join(far, "c1", "left").select(F.col(node).alias("node"), F.coalesce("c2", "c1").alias("component"))
+    labelled = shared.drop("least").join(near, "node", "left").withColumn("c1", F.coalesce("c1", "node"))
+    # buckets that lie in one component have nothing more to compare
+    open_ = labelled.groupBy("bucket").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo < hi")
+    open_ = open_.select("bucket", F.explode(salts(SALTS)).alias("salt"))
+    labelled = checkpoint(labelled.withColumn("salt", salted(SALTS, "node")).join(open_, ["bucket", "salt"]))
+    a, b = labelled.alias("a"), labelled.withColumn("salt", F.explode(salts(SALTS))).alias("b")
+    same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.salt") == F.col("b.salt"))
+    return a.join(b, same & (F.col("a.c1") < F.col("b.c1")))
+
+
+def _together(near: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of nodes from their first ones (node, c1) and links between those (cx, cy): node, component."""
+    far = checkpoint(connected_components(links, "cx", "cy").select(F.col("node").alias("c1"), F.col("component").alias("c2")))
+    alone = far.join(near, "c1", "left_anti").select(F.col("c1").alias("node"), "c1")
+    return near.unionByName(alone).join(far, "c1", "left").select("node", F.coalesce("c2", "c1").alias("component"))
+
+
+def _close_components(keyed: DataFrame, distance: int) -> DataFrame:
+    """Components of the fingerprints (node) that share a bucket and differ in few bits; columns (node, component).
+
+    Nodes without a link are left out.
+    """
+    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    shared = _in_buckets(keyed)
+    star = shared.where((F.col("node") > F.col("least.node")) & close("node", "least.node"))
+    star = star.select(F.col("node").alias("x"), F.col("least.node").alias("y"))
+    near = checkpoint(connected_components(star, "x", "y").select("node", F.col("component").alias("c1")))
+    links = _across(shared, near).where(close("a.node", "b.node")).select(F.col("a.c1").alias("cx"), F.col("b.c1").alias("cy"))
+    return _together(near, links)
 
 
 def near_duplicates(
@@ -151,9 +179,8 @@ def near_duplicates(
     prints = checkpoint(fingerprints(docs, shingle, id_col, text_col))
     ids = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(distance, spare)])).alias("t", "k")
-    keyed = ids.select("fp", tables).select("fp", F.xxhash64("t", "k").alias("bucket"))
-    close = lambda a, b: F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= distance
-    linked = checkpoint(_components(keyed, "fp", close).withColumnRenamed("node", "fp"))
+    keyed = ids.select(F.col("fp").alias("node"), tables).select("node", F.xxhash64("t", "k").alias("bucket"))
+    linked = checkpoint(_close_components(keyed, distance).withColumnRenamed("node", "fp"))
     labels = ids.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labels.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of = labels.join(least, "component").select("fp", "component_id")
@@ -209,24 +236,26 @@ def _sets(size: int):
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y, ...) of nodes whose sets of shingles have the similarity to link."""
-    for side in ("x", "y"):
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}")), side)
+    """The pairs (x, y, ...) of nodes whose sets of shingles have the similarity to link.
+
+    A group of copies has one y for very many x. Its pairs are dealt over SALTS tasks, and its set
+    goes to those tasks and to no others.
+    """
+    pairs = pairs.withColumn("salt", salted(SALTS, "x"))
+    ys = pairs.select("y", "salt").distinct().join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y")
+    pairs = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x").join(ys, ["y", "salt"])
     both = F.size(F.array_intersect("sx", "sy"))
-    return pairs.where((100 + SIMILAR) * both >= SIMILAR * (F.size("sx") + F.size("sy"))).drop("sx", "sy")
+    return pairs.where((100 + SIMILAR) * both >= SIMILAR * (F.size("sx") + F.size("sy"))).drop("sx", "sy", "salt")
 
 
 def _linked(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Components of the nodes (node, size, keys, doc_id, t1, t2) over links of SIMILAR; columns (node, component).
 
-    As in ``_components``, nodes are first compared with the least of each bucket, the components
+    As with fingerprints, nodes are first compared with the least of each bucket, the components
     of these links are contracted, and then only nodes of different components are compared. The
     shingles of the nodes that share a bucket are made once, from the text of (doc_id, t1, t2).
     """
-    keyed = nodes.select("node", "size", F.explode("keys").alias("bucket"))
-    least = F.min(F.struct("node", "size")).alias("least")
-    buckets = keyed.groupBy("bucket").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = checkpoint(keyed.join(buckets, "bucket"))
+    shared = _in_buckets(nodes.select("node", "size", F.explode("keys").alias("bucket")), "size")
     # sets of such sizes can't be similar enough
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * SIMILAR) & (F.col(b) * 100 >= F.col(a) * SIMILAR)
     sources = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("kid"), F.col("t1").alias("k1"), F.col("t2").alias("k2"))
@@ -237,15 +266,10 @@ def _linked(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     sets = checkpoint(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
     star = shared.where((F.col("node") > F.col("least.node")) & fits("size", "least.size"))
     star = _similar(star.select(F.col("node").alias("x"), F.col("least.node").alias("y")).distinct(), sets)
-    near = connected_components(star, "x", "y").select("node", F.col("component").alias("c1"))
-    near = checkpoint(near)
-    labelled = shared.select("node", "size", "bucket").join(near, "node", "left").withColumn("c1", F.coalesce("c1", "node"))
-    a, b = labelled.alias("a"), labelled.alias("b")
-    across = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.c1") < F.col("b.c1")) & fits("a.size", "b.size"))
+    near = checkpoint(connected_components(star, "x", "y").select("node", F.col("component").alias("c1")))
+    across = _across(shared, near).where(fits("a.size", "b.size"))
     across = across.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.c1").alias("cx"), F.col("b.c1").alias("cy")).distinct()
-    far = checkpoint(connected_components(_similar(across, sets), "cx", "cy").select(F.col("node").alias("c1"), F.col("component").alias("c2")))
-    alone = far.join(near, "c1", "left_anti").select(F.col("c1").alias("node"), "c1")
-    return near.unionByName(alone).join(far, "c1", "left").select("node", F.coalesce("c2", "c1").alias("component"))
+    return _together(near, _similar(across, sets))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,9 +281,10 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
     needed to find 0.99 of the pairs at 0.8, and those agree by chance. Of equal rows one stays; a null id stays only if no row of
     its component has an id.
     """
-    text = F.col(text_col).cast("string")
-    named = docs.withColumns({"__id": F.col(id_col), "__t1": F.xxhash64(text), "__t2": F.xxhash64(text, F.lit(7))})
-    rows = named.select(F.col("__id").alias("doc_id"), text.alias("text"), F.col("__t1").alias("t1"), F.col("__t2").alias("t2"))
+    text = field(docs, text_col).cast("string")
+    hashes = F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(7)).alias("t2")
+    named = carried(docs).select("row", field(docs, id_col).alias("doc_id"), *hashes)
+    rows = carried(docs).select(field(docs, id_col).alias("doc_id"), text.alias("text"), *hashes)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     prints = checkpoint(rows.mapInArrow(_bands(shingle), f"doc_id {id_type}, t1 long, t2 long, node long, size long, keys array<long>"))
     source = F.min_by(F.struct("doc_id", "t1", "t2"), F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")).alias("source")
@@ -270,8 +295,8 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
     copies = copies.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")
     kept = copies.groupBy("component").agg(F.min_by(F.struct("doc_id", "t1", "t2", "n"), order).alias("r")).select("r.*")
-    kept = checkpoint(kept.toDF("__kid", "__k1", "__k2", "__n"))
-    match = named["__id"].eqNullSafe(kept["__kid"]) & (named["__t1"] == kept["__k1"]) & (named["__t2"] == kept["__k2"])
-    once = named.join(kept.where("__n = 1").hint("shuffle_hash"), match, "left_semi")
-    repeated = named.join(kept.where("__n > 1"), match, "left_semi").dropDuplicates(["__id", "__t1", "__t2"])
-    return once.unionByName(repeated).select(*docs.columns)
+    kept = checkpoint(kept.toDF("kid", "k1", "k2", "n"))
+    match = F.col("doc_id").eqNullSafe(F.col("kid")) & (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))
+    once = named.join(kept.where("n = 1").hint("shuffle_hash"), match, "left_semi")
+    repeated = named.join(kept.where("n > 1"), match, "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
+    return restored(once.unionByName(repeated), docs)
