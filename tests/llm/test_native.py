@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidelog.llm import quality, secrets, urls
+from tidelog.llm import quality, secrets, simhash, urls
 
 
 @pytest.mark.parametrize("module", [quality, secrets, urls])
@@ -50,6 +50,28 @@ def test_ledger_scans_only_unseen_pairs(spark):
     }
 
 
+def test_increments_equal_one_scan(spark, tmp_path):
+    rows = [(k, t) for k, t in enumerate(odd_texts(9, 120))] + [(500, None), (501, ""), (3, odd_texts(9, 120)[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda found: sorted(((r[0], r[1]) for r in found.select("doc_id", secrets.spans_string(F.col("spans"))).collect()), key=str)
+    one, two = f"{tmp_path}/one", f"{tmp_path}/two"
+    whole = spans(secrets.scan_into_ledger(df, one))
+    first = secrets.scan_into_ledger(df.where("doc_id < 60"), two)
+    assert spans(first) == [x for x in whole if x[0] < 60]
+    # the second increment holds old versions too; only new blobs are written
+    assert spans(secrets.scan_into_ledger(df, two)) == whole == sorted(((i, ",".join(brute.secrets(t))) for i, t in rows), key=str)
+    pairs = lambda path: sorted((bytes(r["blob"]), r["rule"], r["version"], str(r["spans"])) for r in spark.read.parquet(path).collect())
+    assert pairs(one) == pairs(two) and len(pairs(one)) == len(secrets.RULES) * len({t or "" for _, t in rows})
+    before = len(pairs(two))
+    secrets.scan_into_ledger(df, two)
+    assert len(pairs(two)) == before
+    # a raised version is scanned anew, the others aren't
+    raised = (*secrets.RULES[:2], secrets.Rule("hex", 2, "[0-9a-f]{8,}"))
+    again = secrets.scan_into_ledger(df, two, raised)
+    assert len(pairs(two)) == before + before // 3 and again.where("exists(spans, s -> s.kind = 'hex' and s.end - s.start < 24)").count() > 0
+    assert secrets.scan_into_ledger(df.where("false"), f"{tmp_path}/none").collect() == []
+
+
 def test_redact(spark):
     rows = [(1, "é token=abcdefgh end"), (2, "clean"), (3, None), (4, "token=" + "a" * 30), (4, "token=" + "a" * 30)]
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, __n int")
@@ -60,6 +82,24 @@ def test_redact(spark):
     ]
 
 
+ODD_NAMES = ("__spans", "__blob", "a.b", "row", "c1", "salt", "spans", "content", "seen", "words", "n_words", "__t1", "__id", "__n", "node", "a`b")
+
+
+def with_odd_names(spark, rows):
+    """Rows of doc_id and text, with further columns of many names; each holds its name and the id."""
+    kinds = ", ".join(f"`{n.replace('`', '``')}` string" for n in ODD_NAMES)
+    return spark.createDataFrame([(i, t, *(f"{n} {i}" for n in ODD_NAMES)) for i, t in rows], f"doc_id long, text string, {kinds}")
+
+
+@pytest.mark.parametrize("keep", [secrets.redact, quality.keep_good, simhash.keep_one_of_each])
+def test_rows_come_back_whatever_their_names(spark, keep):
+    rows = [(k, " ".join(f"the w{k * 100 + n} of" for n in range(60)) + (" token=abcdefgh" if k % 2 else "")) for k in range(4)]
+    df = with_odd_names(spark, rows)
+    kept = keep(df)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in kept.collect()) == [(k, *(f"{n} {k}" for n in ODD_NAMES)) for k in range(4)]
+
+
 def test_quality_matches_brute_force(spark):
     rng = random.Random(7)
     words = ["the", "of", "é", "x#", "日本", "a|b", "und", "w1", "w2", "w3"]

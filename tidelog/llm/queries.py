@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitplane, decontaminate, html_text, licenses, packing, quality, secrets, simhash, substring_dedup, urls
+from .common import shared_folder
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,7 +44,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    ledger = f"{shared_folder(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    found = secrets.scan_into_ledger(table(spark, sf_dir, "documents"), ledger)
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
