@@ -1,10 +1,13 @@
 import html
+import random
 import re
+import time
 
 import duckdb
 import pytest
 
-from tidelog.llm.html_text import blocks, extract_text, main_text
+from tidelog.llm import html_text
+from tidelog.llm.html_text import Path, _alike, blocks, extract_text, main_text
 
 ARTICLE = "A title\nFirst paragraph, with some words and marks. It is long enough to count.\nSecond one; shorter.\nok"
 SITE = """<html><body><div id="header">Site name</div><ul class="menu"><li><a href=x>Home</a><li><a href=y>News</a></ul><div class="content has-sidebar"><h1>A title</h1>
@@ -31,7 +34,7 @@ def test_main_text(page, expected):
 
 
 def test_paths_follow_the_markup():
-    assert [(b.path[1:], b.text) for b in blocks("<body><div class=x><p>a<p>b</div>c</body>")] == [
+    assert [(b.path.labels(), b.text) for b in blocks("<body><div class=x><p>a<p>b</div>c</body>")] == [
         (("body", "div.x", "p"), "a"), (("body", "div.x", "p"), "b"), (("body",), "c")
     ]
 
@@ -93,3 +96,35 @@ def test_split_articles():
     assert main_text(page) == "\n".join(["The tale", *PARAGRAPHS])
     sections = "".join(f"<section class=story>{x}</section>" for x in (a, b, c, d))
     assert main_text(f"<body>{sections}<article><a href=x>Another tale</a></article></body>") == "\n".join(PARAGRAPHS)
+
+
+def test_scores_decide(monkeypatch):
+    text = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    menu = "".join(f"<div class=m{k}>Item {k}</div>" for k in range(6))
+    page = f"<body><div class=a1>{menu}</div><div class=b2>{text}</div><div class=z3>Copyright 2024 Example Inc</div></body>"
+    assert main_text(page) == "\n".join(PARAGRAPHS)
+    monkeypatch.setattr(html_text, "scores", lambda found: [1.0] * len(found))
+    assert "Item 3" in main_text(page) and "Copyright" in main_text(page)
+
+
+def test_common_parts_of_paths():
+    rng, root = random.Random(3), Path("#root", None)
+    paths = [root]
+    for _ in range(400):
+        up = rng.choice(paths[-30:])
+        paths.append(up.child(rng.choice("abc")))
+    for _ in range(2000):
+        a, b = rng.choice(paths), rng.choice(paths)
+        n = next((k for k, (x, y) in enumerate(zip(a.labels(), b.labels())) if x != y), min(a.depth, b.depth) - 1)
+        assert _alike(a, b) == 2 * (n + 1) / (a.depth + b.depth)
+
+
+@pytest.mark.parametrize(
+    "unit", ["<" + "a" * 20, "<a ", '<a "', "<a '>", "<div>", "<center>x", "<ul><li>x", "<p>x", "<script", "<script></script ", "</p>", "&", "<!--", "<!", "<div>x, y."]
+)
+def test_hostile_pages_take_time_in_proportion(unit):
+    page = unit * (400_000 // len(unit))
+    start = time.perf_counter()
+    main_text(page)
+    # at a quadratic cost each would take minutes
+    assert time.perf_counter() - start < 15

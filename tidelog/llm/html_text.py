@@ -10,9 +10,14 @@ aren't mostly links, are content. The text is that of all blocks on content path
 elements that hold such a path, whole but for boilerplate, of short flow blocks (headings, list
 items, paragraphs) beside content, and of the headings right before it.
 
-Edge cases: null and empty pages give an empty text. Broken markup is read as far as it goes: end
-tags that open nothing are ignored, unclosed elements end with their parent, a paragraph ends
-where a block begins. Repeated rows are pages of their own. Other columns are ignored.
+The work is in proportion to a page's length (times a logarithm, where paths are compared): tags are
+read once, open elements are found by their tag, and paths are nodes of a tree and not lists.
+
+Edge cases: null and empty pages give an empty text, an empty table none. Broken markup is read as
+far as it goes: end tags that open nothing are ignored, unclosed elements end with their parent, a
+paragraph ends where a block begins; a tag whose quotes don't close ends at its first ">", and
+where no ">" follows all is text. A very long page is read whole, in one task. Repeated rows are
+pages of their own, equal scores count alike. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 from math import exp, log1p
 
 import pyarrow as pa
@@ -52,7 +58,9 @@ FLOW = HEADINGS | frozenset("p li dt dd pre blockquote figcaption".split())
 LISTS = frozenset("ul ol dl li blockquote figure".split())
 SCOPES = frozenset("ul ol dl table article main section div body html blockquote".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*+))")
+#: The rest of a tag up to its ">", which quotes may hide; no part is tried twice.
+_REST = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -64,11 +72,43 @@ REACH, WIDTH = 3, 1.5
 GOOD, LEAST, LINKS = 2.0, 0.5, 0.5
 
 
+class Path:
+    """A node of the tree of tag paths, with a jump towards the root that finds common parts in logarithmic time."""
+
+    __slots__ = ("label", "up", "jump", "depth", "below")
+
+    def __init__(self, label: str, up: "Path | None"):
+        self.label, self.up, self.below = label, up, {}
+        self.depth = up.depth + 1 if up else 1
+        far = up is not None and up.depth - up.jump.depth == up.jump.depth - up.jump.jump.depth
+        self.jump = self if up is None else up.jump.jump if far else up
+
+    def child(self, label: str) -> "Path":
+        if label not in self.below:
+            self.below[label] = Path(label, self)
+        return self.below[label]
+
+    def labels(self) -> tuple[str, ...]:
+        """From below the root on."""
+        out, p = [], self
+        while p.up is not None:
+            out.append(p.label)
+            p = p.up
+        return tuple(reversed(out))
+
+    def above(self, depth: int) -> "Path":
+        """The part of the path down to a depth."""
+        p = self
+        while p.depth > depth:
+            p = p.jump if p.jump.depth >= depth else p.up
+        return p
+
+
 class Element:
-    __slots__ = ("tag", "label", "bad", "good", "up", "depth")
+    __slots__ = ("tag", "path", "bad", "good", "up", "outer", "container")
 
     def __init__(self, tag: str, attributes: str, up: "Element | None"):
-        self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
+        self.tag, self.up = tag, up
         names, bad = [], tag in BOILERPLATE
         inside = up is not None and up.good
         if tag == "header" and not inside:
@@ -90,19 +130,22 @@ class Element:
                     names.append(value)
         self.bad = bad or up is not None and up.bad
         self.good = (good or inside) and not self.bad
-        self.label = ".".join([tag, *sorted(names)])
+        self.path = up.path.child(".".join([tag, *sorted(names)])) if up else Path(tag, None)
+        # the outermost content element about it, and what a block of flow in it lies in: lists are seen through
+        self.outer = up.outer if up is not None and up.outer is not None else self if self.good else None
+        self.container = self if up is None else up.container if up.tag in LISTS and up.up is not None else up
 
 
 class Block:
     __slots__ = ("element", "text", "linked", "path")
 
     def __init__(self, element: Element, text: str, linked: int):
-        self.element, self.text, self.linked = element, text, linked
-        path, e = [], element
-        while e is not None:
-            path.append(e.label)
-            e = e.up
-        self.path = tuple(reversed(path))
+        self.element, self.text, self.linked, self.path = element, text, linked, element.path
+
+
+@cache
+def _shut(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b", re.I)
 
 
 def blocks(page: str) -> list[Block]:
@@ -121,19 +164,38 @@ def blocks(page: str) -> list[Block]:
             pieces.clear()
         linked = 0
 
-    def close(tags, scopes=frozenset()):
+    # open elements of each tag, the innermost last
+    opened: dict[str, list[Element]] = defaultdict(list)
+
+    def innermost(tags) -> int:
+        return max((opened[t][-1].path.depth for t in tags if opened.get(t)), default=0)
+
+    def close(tags, scopes=()):
         nonlocal top
-        e = top
-        while e.up is not None and e.tag not in tags:
-            if e.tag in scopes:
-                return
-            e = e.up
-        if e.up is not None:
-            top = e.up
+        depth = innermost(tags)
+        if depth and depth > innermost(scopes):
+            while top.path.depth >= depth:
+                opened[top.tag].pop()
+                top = top.up
 
     while at < end:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else end
+        m = _OPEN.search(page, at)
+        stop, after, rest, tag = (m.start() if m else end), end, "", ""
+        if m:
+            tag = (m[2] or "").lower()
+            if tag:
+                body = _REST.match(page, m.end())
+                # quotes that don't close would hide all that follows
+                after = body.end() if page.startswith(">", body.end()) else page.find(">", m.end())
+                rest = page[m.end() : after]
+            elif page.startswith("<!--", stop):
+                after = page.find("-->", m.end())
+                after = end - 1 if after < 0 else after + 2
+            else:
+                after = page.find(">", m.end())
+            if after < 0:  # no tag ends from here on
+                m, stop, tag = None, end, ""
+            after += 1
         if stop > at:
             text = html.unescape(page[at:stop])
             pieces.append(text)
@@ -141,8 +203,7 @@ def blocks(page: str) -> list[Block]:
                 linked += len(text)
         if not m:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        at = after
         if not tag:
             continue
         if m[1]:
@@ -154,8 +215,9 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in RAW:
             flush()
-            shut = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = shut.end() if shut else end
+            shut = _shut(tag).search(page, at)
+            at = page.find(">", shut.end()) + 1 if shut else 0
+            at = at or end
             continue
         if tag == "br":
             pieces.append(" ")
@@ -169,24 +231,25 @@ def blocks(page: str) -> list[Block]:
         if tag in ENDS:
             close(ENDS[tag], SCOPES)
         if tag not in VOID:
-            top = Element(tag, m[3], top)
+            top = Element(tag, rest, top)
+            opened[tag].append(top)
     flush()
     return out
 
 
-def _alike(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+def _alike(a: Path, b: Path) -> float:
     """The share of two paths that they have in common from the root."""
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return 2 * n / (len(a) + len(b))
+    both = a.depth + b.depth
+    least = min(a.depth, b.depth)
+    a, b = a.above(least), b.above(least)
+    while a is not b:
+        a, b = (a.jump, b.jump) if a.jump is not b.jump else (a.up, b.up)
+    return 2 * a.depth / both
 
 
 def scores(found: list[Block]) -> list[float]:
     """The smoothed and fused score of each block."""
-    total: dict[tuple, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+    total: dict[Path, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
     for b in found:
         t = total[b.path]
         t[0] += 1
@@ -205,24 +268,6 @@ def scores(found: list[Block]) -> list[float]:
     return out
 
 
-def _container(e: Element) -> Element:
-    """The element that a block of flow lies in."""
-    e = e.up or e
-    while e.tag in LISTS and e.up is not None:
-        e = e.up
-    return e
-
-
-def _outermost(e: Element) -> Element | None:
-    """The content element that ``e`` is in, if any."""
-    best = None
-    while e is not None:
-        if e.good:
-            best = e
-        e = e.up
-    return best
-
-
 def main_text(page: str | None) -> str:
     """The page's main text: blocks joined by line breaks."""
     found = blocks(page or "")
@@ -234,13 +279,13 @@ def main_text(page: str | None) -> str:
         return ""
     least = LEAST * sum(n * v for n, v in zip(sizes, plain)) / live
     # by path: blocks, their scores, text, link text; by content element: text, link text, content
-    paths: dict[tuple, list[float]] = defaultdict(lambda: [0, 0.0, 0, 0])
+    paths: dict[Path, list[float]] = defaultdict(lambda: [0, 0.0, 0, 0])
     for b, n, v in zip(found, sizes, value):
         t = paths[b.path]
         t[0], t[1], t[2], t[3] = t[0] + 1, t[1] + v, t[2] + n, t[3] + min(b.linked, n)
     content = {p for p, (n, v, text, links) in paths.items() if v > 0 and v / n >= least and links < LINKS * text}
     whole: dict[Element, list] = defaultdict(lambda: [0, 0, False])
-    owner = [None if b.element.bad else _outermost(b.element) for b in found]
+    owner = [None if b.element.bad else b.element.outer for b in found]
     for b, n, e in zip(found, sizes, owner):
         if e is not None:
             t = whole[e]
@@ -248,10 +293,10 @@ def main_text(page: str | None) -> str:
     keep, prose = [], [not b.element.bad and b.linked < LINKS * n for b, n in zip(found, sizes)]
     for b, e, ok in zip(found, owner, prose):
         keep.append(whole[e][2] and whole[e][1] < LINKS * whole[e][0] if e is not None else ok and b.path in content)
-    beside = {_container(b.element) for b, k in zip(found, keep) if k}
+    beside = {b.element.container for b, k in zip(found, keep) if k}
     for k, b in enumerate(found):
         if not keep[k] and owner[k] is None and prose[k] and b.element.tag in FLOW:
-            keep[k] = _container(b.element) in beside
+            keep[k] = b.element.container in beside
     for k in range(len(found) - 2, -1, -1):
         if keep[k + 1] and prose[k] and found[k].element.tag in HEADINGS:
             keep[k] = True
