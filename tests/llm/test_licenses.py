@@ -2,32 +2,35 @@ import math
 from collections import Counter
 
 from tests.llm.brute import alnum_words
-from tidelog.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses
+from tidelog.llm.licenses import FULL_TEXTS, TEMPLATES, THRESHOLD, scan_licenses
+
+KNOWN = TEMPLATES + FULL_TEXTS
 
 PROSE = "Some words that are about nothing at all\nand go on for a while in lines of their own\n"
 
 
 def plain(docs):
-    """TF-IDF cosine of every line to every template."""
-    words = {w for _, t in TEMPLATES for w in alnum_words(t)}
+    """TF-IDF cosine of every line, paragraph and whole text to every template."""
+    words = {w for _, t in KNOWN for w in alnum_words(t)}
     df = Counter(w for _, t in docs for w in set(alnum_words(t)) & words)
     idf = {w: math.log((len(docs) + 1) / (df[w] + 1)) + 1 for w in words}
     other = math.log(len(docs) + 1) + 1
     out = []
     for _, text in docs:
-        best = (0.0, None)
-        units = (text or "").split("\n") + (text or "").split("\n\n")
-        for u in units:
+        matches = []
+        for u in [*(text or "").split("\n"), *(text or "").split("\n\n"), text or ""]:
             c = Counter(alnum_words(u))
             norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items() if w in words) + other**2 * sum(n for w, n in c.items() if w not in words))
-            for name, t in TEMPLATES:
+            cosines = []
+            for name, t in KNOWN:
                 v = Counter(alnum_words(t))
                 dot = sum(n * idf[w] * c[w] * idf[w] for w, n in v.items())
                 if norm:
-                    cosine = dot / norm / math.sqrt(sum((n * idf[w]) ** 2 for w, n in v.items()))
-                    if cosine > best[0] + 1e-12 or abs(cosine - best[0]) <= 1e-12 and best[1] and name < best[1]:
-                        best = (cosine, name)
-        out.append(best[1] if best[0] >= THRESHOLD else None)
+                    cosines.append((-round(dot / norm / math.sqrt(sum((n * idf[w]) ** 2 for w, n in v.items())), 9), name, -sum(v.values())))
+            if cosines and -min(cosines)[0] >= THRESHOLD:
+                cosine, name, n = min(cosines)
+                matches.append((n, cosine, name))
+        out.append(min(matches)[2] if matches else None)
     return out
 
 
@@ -86,3 +89,27 @@ def test_versions_and_variants_are_told_apart(spark):
     ]
     got = result(spark, [(k, f"d{k}/x", t, "") for k, (t, _) in enumerate(cases)])
     assert [got[k][0] for k in range(len(cases))] == [name for _, name in cases]
+
+
+def test_ties_go_by_name_and_whole_conditions_before_lines(spark):
+    one, two = "Released under the MIT License.", "Licensed under CC BY 4.0."
+    full = dict(FULL_TEXTS)
+    first_line = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    wrapped = lambda text: "Copyright (c) 2024 Jane Doe\n\n" + text.replace(": 1. ", ":\n\n1. ").replace(" 2. ", "\n2. ").replace(" 3. ", "\n3. ").replace(" THIS ", "\n\nTHIS ")
+    cases = [(f"{one}\n\n{two}\n", None), (f"{two}\n\n{one}\n", None), (f"All rights reserved.\n{one}", "MIT")]
+    cases += [(wrapped(full[name]), name) for name in ("BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "0BSD", "Zlib", "Unlicense", "Apache-2.0")]
+    assert wrapped(full["BSD-2-Clause"]).split("\n")[2] == first_line
+    got = result(spark, [(k, f"d{k}/LICENSE", t, "") for k, (t, _) in enumerate(cases)] + [(100 + k, f"d{k}/x/y.txt", PROSE, "") for k in range(3, len(cases))])
+    assert got[0] == got[1] and got[0][0] in ("MIT", "CC-BY-4.0")
+    assert [got[k][0] for k in range(2, len(cases))] == [name for _, name in cases[2:]]
+    # the license files cover what lies below
+    assert [got[100 + k] for k in range(3, len(cases))] == [(name, True, f"d{k}") for k, (_, name) in enumerate(cases) if k > 2]
+
+
+def test_order_in_a_text_decides_nothing(spark):
+    notices = [t for _, t in TEMPLATES]
+    pairs = [(a, b) for k, a in enumerate(notices) for b in notices[k + 1 :: 5]]
+    docs = [(k, None, f"{x}\n\n{y}", "") for k, (a, b) in enumerate(pairs) for x, y in ((a, b),)]
+    docs += [(10_000 + k, None, f"{b}\n\n{a}", "") for k, (a, b) in enumerate(pairs)]
+    got = result(spark, docs)
+    assert all(got[k][0] == got[10_000 + k][0] for k in range(len(pairs)))

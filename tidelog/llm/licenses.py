@@ -1,19 +1,23 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from ancestor directories.
 
-Units of a text are its lines, and its paragraphs of several lines. A unit's vector holds the
+Units of a text are its lines, its paragraphs, and the whole of it. A unit's vector holds the
 counts of the words that templates use, weighted by inverse document frequency over the whole
 corpus; all other words count, each with the weight of a word in no document, in the unit's
-length only. The best cosine of a unit to a template is the text's own license, if it reaches
-the threshold. A text of which the matching unit is at least half is a license file; it covers
+length only. A unit's license is that of the template of best cosine, if it reaches the threshold.
+Of a text's units the one whose template has the most words counts, since whole conditions tell
+more than the first line that several licenses share; then the better cosine. A text of which the matching unit is at least half is a license file; it covers
 its directory. Files without a license of their own inherit from the nearest directory above
 that has one.
 
 Plan: two scans of the texts. Document frequencies come back as one row for each template word
 (their number is that of the templates' words, whatever the corpus). Directories are resolved
-once each, by joins on their ancestors, and not once for each file.
+once each, by joins on their ancestors, and not once for each file. All directories have the root
+above them, and one may hold a third of all files; the joins on both are salted.
 
 Edge cases: null and empty texts have no license of their own but may inherit; a null path
-inherits nothing. Ties go to the license that comes first by name. Repeated rows are scanned each.
+inherits nothing. Cosines are rounded to TIE_DIGITS digits; in a tie the license that comes first
+by name is taken, wherever in the text it stands. Repeated rows are scanned each. An empty
+table gives none. A very long text is scanned whole, in one task. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, salted, salts
 from .words import ALNUM, Words, text_slices
 
 #: Short forms of common notices, by license; fixed values.
@@ -65,18 +69,61 @@ TEMPLATES = (
     ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 )
+#: What full texts of permissive licenses have in common; fixed values.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_END = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+    "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+#: Whole texts of licenses, without titles and copyright lines; fixed values.
+FULL_TEXTS = (
+    ("0BSD", f"{_ISC}. {_ISC_END}"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+     'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+     "See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_END),
+    ("ISC", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_END}"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+     "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+     "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+     "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+     "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+     "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+     "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+     "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+)
 #: Words that tell versions and variants apart: a match has the same ones of the second kind, and
 #: all of its template's of the first.
 NAMES = "0 1 2 3 4 apache agpl bsd cc0 gpl isc lgpl mit mozilla mpl".split()
 VARIANTS = "affero agpl lesser lgpl nc nd noncommercial noderivatives sa sharealike".split()
 THRESHOLD = 0.8
+#: Cosines that agree so far are equal: sums of floats differ behind it by their order.
+TIE_DIGITS = 9
 SALTS = 32
 
 
 class Vocabulary:
     """The templates' words: sorted hashes, and each template's counts."""
 
-    def __init__(self, templates=TEMPLATES):
+    def __init__(self, templates):
         self.names = [n for n, _ in templates]
         words = Words([t.encode() for _, t in templates], ALNUM, lower=True)
         hashes, owner = words.hashes(), words.text_of()
@@ -124,10 +171,10 @@ def _match(vocabulary: Vocabulary, idf: np.ndarray, other: float, threshold: flo
     templates = vocabulary.counts * idf
     templates /= np.linalg.norm(templates, axis=1, keepdims=True)
     order = np.argsort(np.array(vocabulary.names), kind="stable")
-    needs = vocabulary.needed.sum(axis=1)
+    needs, lengths = vocabulary.needed.sum(axis=1), vocabulary.counts.sum(axis=1)
 
     def units(words: Words, unit: np.ndarray, numbers: np.ndarray):
-        """(unit, cosine, template) of units that reach the threshold."""
+        """(unit, words of the template, cosine, license) of units that reach the threshold."""
         known = numbers >= 0
         if not known.any():
             return
@@ -141,23 +188,23 @@ def _match(vocabulary: Vocabulary, idf: np.ndarray, other: float, threshold: flo
         # other words are told apart by nothing but their number, as if each occurred once
         extra = np.bincount(unit, minlength=int(unit.max()) + 1)[ids] - np.bincount(unit[known], minlength=int(unit.max()) + 1)[ids]
         norm = np.sqrt(square + extra * other * other)
-        some = np.sqrt(square) / norm >= threshold
+        some = np.sqrt(square) / norm >= threshold - 10.0**-TIE_DIGITS
         bounds = np.append(begin, len(who))
         for k in np.flatnonzero(some).tolist():
             a, b = bounds[k], bounds[k + 1]
             cosine = (templates[order][:, word[a:b]] @ value[a:b]) / norm[k]
             has = word[a:b]
             fits = (vocabulary.needed[:, has].sum(axis=1) == needs) & ~vocabulary.barred[:, has].any(axis=1)
-            cosine = np.where(fits[order], cosine, 0.0)
-            best = int(cosine.argmax())
+            cosine = np.round(np.where(fits[order], cosine, 0.0), TIE_DIGITS)
+            best = int(cosine.argmax())  # the first by name of equal ones
             if cosine[best] >= threshold:
-                yield int(ids[k]), float(cosine[best]), vocabulary.names[order[best]]
+                yield int(ids[k]), int(lengths[order[best]]), float(cosine[best]), vocabulary.names[order[best]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch):
                 words = Words(texts, ALNUM, lower=True)
-                found: list[tuple] = [(None, 0.0, False)] * part.num_rows
+                best: dict[int, tuple] = {}
                 if len(words):
                     owner, numbers = words.text_of(), vocabulary.find(words.hashes())
                     ends = np.concatenate((np.flatnonzero(words.data == 0x0A), words.text_start[1:] - 1))
@@ -166,38 +213,44 @@ def _match(vocabulary: Vocabulary, idf: np.ndarray, other: float, threshold: flo
                     blank = np.flatnonzero((words.data[:-1] == 0x0A) & (words.data[1:] == 0x0A))
                     cuts = np.concatenate((blank, words.text_start[1:] - 1))
                     cuts.sort()
-                    for unit in (line, np.searchsorted(cuts, words.start)):
+                    for unit in (line, np.searchsorted(cuts, words.start), owner):
                         size = np.bincount(unit)
                         first = np.searchsorted(unit, np.arange(len(size)))
-                        for u, cosine, name in units(words, unit, numbers):
+                        for u, n, cosine, name in units(words, unit, numbers):
                             doc = int(owner[first[u]])
-                            if (cosine, found[doc][0] or "~") > (found[doc][1], "~") or found[doc][0] is None:
-                                found[doc] = (name, cosine, bool(2 * size[u] >= words.counts[doc]))
+                            # more words, then a better cosine, then the earlier name, then the unit that makes a license file
+                            own = (-n, -cosine, name, not 2 * size[u] >= words.counts[doc])
+                            best[doc] = min(best.get(doc, own), own)
+                found = [best.get(k, (0, 0.0, None, True)) for k in range(part.num_rows)]
                 yield pa.record_batch(
                     {
-                        "doc_id": part.column("doc_id"), "path": part.column("path"), "license": pa.array([x[0] for x in found], pa.string()),
-                        "similarity": pa.array([x[1] for x in found]), "is_file": pa.array([x[2] for x in found]),
+                        "doc_id": part.column("doc_id"), "path": part.column("path"), "license": pa.array([x[2] for x in found], pa.string()),
+                        "similarity": pa.array([-x[1] for x in found], pa.float64()), "is_file": pa.array([not x[3] for x in found], pa.bool_()),
                     }
                 )
 
     return run
 
 
+def _directory() -> Column:
+    return F.regexp_replace("path", "/?[^/]*$", "")
+
+
 def inherit(files: DataFrame) -> DataFrame:
-    """The license of each directory of ``files`` (path, license, is_file), from itself or above: dir, inherited, inherited_from."""
-    parent = F.regexp_replace("path", "/?[^/]*$", "")
-    named = files.where("path is not null").withColumn("dir", parent)
+    """The license of each directory of ``files`` (path, license, similarity, is_file), from itself or above: dir, inherited, inherited_from."""
+    named = files.where("path is not null").withColumn("dir", _directory())
     covered = named.where("is_file").groupBy("dir").agg(F.min_by("license", F.struct(-F.col("similarity"), "license")).alias("inherited"))
+    covered = covered.withColumn("salt", F.explode(salts(SALTS))).withColumnRenamed("dir", "up")
     dirs = named.select("dir").distinct()
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    chain = dirs.select("dir", F.explode(F.array_distinct(above)).alias("up"))
-    nearest = chain.join(covered.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct(F.length("up"), "up", "inherited")).alias("m"))
+    chain = dirs.select("dir", F.explode(F.array_distinct(above)).alias("up")).withColumn("salt", salted(SALTS, "dir"))
+    nearest = chain.join(covered, ["up", "salt"]).groupBy("dir").agg(F.max(F.struct(F.length("up"), "up", "inherited")).alias("m"))
     return nearest.select("dir", "m.inherited", F.col("m.up").alias("inherited_from"))
 
 
 def scan_licenses(
-    docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path"
+    docs: DataFrame, templates=TEMPLATES + FULL_TEXTS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path"
 ) -> DataFrame:
     """One row for each input row: doc_id, path, license (own or inherited), similarity, inherited, inherited_from."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
@@ -205,10 +258,8 @@ def scan_licenses(
     idf, other = weights(rows, vocabulary)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     own = checkpoint(rows.mapInArrow(_match(vocabulary, idf, other, threshold), f"doc_id {id_type}, path string, license string, similarity double, is_file boolean"))
-    own = own.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
-    # a directory may hold a third of all files: its rows are dealt over SALTS tasks
-    own = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "path", "similarity"), F.lit(SALTS)))
-    known = inherit(own).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    known = inherit(own).withColumn("salt", F.explode(salts(SALTS)))
+    own = own.withColumn("dir", _directory()).withColumn("salt", salted(SALTS, "doc_id", "path", "similarity"))
     joined = own.join(known, ["dir", "salt"], "left")
     lone = F.col("license").isNull() & F.col("inherited").isNotNull()
     return joined.select(
