@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tests.llm.brute import decontaminate
+from tidelog.llm import decontaminate as decontaminate_module
 from tidelog.llm.decontaminate import find_contamination
 
 
@@ -35,6 +36,16 @@ def test_matches_brute_force(spark):
     assert result(spark, docs, items, block_windows=50) == expected
 
 
+def test_patterns_that_share_their_ends(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate_module, "PAIRS_AT_ONCE", 64)
+    rng = random.Random(8)
+    middle = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(k, f"what is {middle(6)} of it") for k in range(300)] + [(1000 + k, middle(rng.randrange(1, 4))) for k in range(5)]
+    docs = [(k, f"x what is {middle(6)} of it y {middle(5)} what is {middle(6)} of that") for k in range(100)]
+    docs.append((900, " ".join(f"v{k % 977}" for k in range(100_000)) + f" {items[7][1]} " + " ".join(f"u{k}" for k in range(20_000))))
+    assert result(spark, docs, items) == decontaminate(docs, items)
+
+
 def test_empty_tables(spark):
     assert result(spark, [], [(1, "a b c")]) == []
     assert [r[2:4] for r in result(spark, [(1, "a b c")], [])] == [(0, 0)]

@@ -148,4 +148,8 @@ def test_urls_match_brute_force(spark, monkeypatch):
         got = urls.filter_urls(df, keys, RULES).drop("listed").collect()
         assert sorted(map(tuple, got), key=str) == expected
     assert urls.filter_urls(df.where("false"), keys, RULES).collect() == []
+    # the same list as a feed may write it
+    written = [("https://" + x.upper() if "/p" not in x and x.endswith("/") else x.removesuffix("/"),) for x in listed if "é" not in x] + [("é.org/en",), ("",), ("  ",), (" bad.org:443 ",)]
+    got = urls.filter_urls(df, spark.createDataFrame(written, "key string"), RULES).drop("listed").collect()
+    assert sorted(map(tuple, got), key=str) == expected
     assert {r["verdict"] for r in urls.filter_urls(df, keys.where("false")).collect()} == {"allow"}

@@ -96,6 +96,59 @@ def test_lower_bound_is_one():
     assert packing.lower_bound(np.bincount([10, 10], minlength=11), 10) == 2
 
 
+def fewest(lengths, capacity):
+    """The least number of bins, by trying."""
+    lengths = sorted(lengths, reverse=True)
+
+    def fits(k, rooms):
+        if k == len(lengths):
+            return True
+        tried = set()
+        for b, room in enumerate(rooms):
+            if room >= lengths[k] and room not in tried:
+                tried.add(room)
+                rooms[b] -= lengths[k]
+                if fits(k + 1, rooms):
+                    return True
+                rooms[b] += lengths[k]
+        return False
+
+    n = -(-sum(lengths) // capacity)
+    while not fits(0, [capacity] * n):
+        n += 1
+    return n
+
+
+def test_close_to_the_fewest_sequences():
+    rng, more = np.random.default_rng(6), 0
+    for _ in range(150):
+        capacity = int(rng.integers(6, 24))
+        lengths = np.sort(rng.integers(1, capacity + 1, int(rng.integers(1, 13))))[::-1]
+        _, _, room = packing.best_fit_decreasing(lengths, capacity)
+        bound, best = packing.lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity), fewest(lengths.tolist(), capacity)
+        assert bound <= best <= len(room) <= best + 1
+        more += len(room) - best
+    assert more <= 5
+
+
+def test_rounds_go_on_while_they_save(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(packing, "PARTITION_PIECES", 8)
+    lengths = rng.integers(1, 101, 600)
+    df = spark.createDataFrame([(k, 0, int(n)) for k, n in enumerate(lengths)], "uid long, piece int, length long")
+    out = packing.pack_lengths(df, 100).collect()
+    assert sorted((r["uid"], r["length"]) for r in out) == list(enumerate(lengths.tolist()))
+    rows = {}
+    for r in out:
+        rows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in rows.values():
+        own.sort()
+        assert [o for o, _ in own] == np.cumsum([0, *[n for _, n in own][:-1]]).tolist() and sum(n for _, n in own) <= 100
+    once = sum(len(packing.best_fit_decreasing(np.sort(lengths[k : k + 8])[::-1], 100)[2]) for k in range(0, 600, 8))
+    bound = packing.lower_bound(np.bincount(lengths, minlength=101), 100)
+    assert len(rows) < once and len(rows) <= bound * 1.03 + 1
+
+
 def test_packing(spark, monkeypatch):
     plain = Tokenizer.from_file(WORD)
     rows = [(k, t, "clash", 1) for k, t in enumerate(texts(3, 400))] + [(0, "again", "clash", 1), (None, "no id", "clash", 1)]
@@ -119,4 +172,6 @@ def test_packing(spark, monkeypatch):
         assert at <= 2048
     total = sum(r[3] for r in expected)
     assert len(sequences) <= -(-total // 2048) * 1.04 + 2
+    used, bound = packing.certificate(packing.pack_documents(df, WORD), 2048)
+    assert bound <= used and used <= bound * 1.04 + 2
     assert packing.pack_documents(df.where("false"), WORD).collect() == []

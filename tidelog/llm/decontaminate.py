@@ -3,16 +3,19 @@
 A pattern is a window of benchmark words. For patterns of one length m, a table holds for each
 block of two words how far a search may skip when that block stands at the end of the place
 looked at; blocks that no pattern holds skip m - 1 words. Where the table says zero, the hash of
-the last block selects a bucket of patterns, and these are compared word by word. Many cursors
-move over a batch at once, so each step is one array operation.
+the last block selects a bucket of patterns, the hash of the first block narrows it, and what is
+left is compared word by word: all pairs at once by the words' hashes, and those that agree by
+their bytes. Many cursors move over a batch at once, so each step is one array operation.
 
-Patterns reach the executors in blocks of at most ``block_windows`` windows, which bounds every
-broadcast and the driver's memory whatever the size of the benchmark; texts are scanned once for
-each block, and only if there are several blocks are the results merged by a shuffle.
+Patterns reach the executors in blocks of about ``block_windows`` windows (the item that fills a
+block is not cut), which bounds every broadcast. The driver reads the benchmark row by row, builds
+one block at a time and broadcasts all before the scan. Texts are scanned once for each block, and
+only if there are several blocks are the results merged by a shuffle.
 
 Edge cases: null and empty texts have no words and no hits; a null benchmark text has no window;
 equal windows of several items report all these items; repeated rows are judged each by itself;
-an empty benchmark hits nothing. Other columns of the inputs are ignored.
+an empty benchmark hits nothing, and an empty table gives none. A very long text is scanned whole,
+in one task. Other columns of the inputs are ignored, or, by ``drop_contaminated``, given back.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALNUM, Words, mix, text_slices, window_hashes
+from .words import ALNUM, Words, mix, text_slices
 
 CURSOR_WORDS = 256
+#: Pairs of a place and a pattern that are compared at a time, about.
+PAIRS_AT_ONCE = 1 << 18
 
 
 def _blocks(h: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
@@ -49,11 +54,20 @@ class WuManber:
         for end in range(self.width - 1, length):
             at = _blocks(hashes.ravel(), np.arange(len(hashes)) * length + end, self.width)
             np.minimum.at(self.shift, (at >> np.uint64(64 - self.bits)).astype(np.int64), length - 1 - end)
-        suffix = _blocks(hashes.ravel(), np.arange(len(hashes)) * length + length - 1, self.width)
-        self.suffix = np.unique(suffix)
-        whole = window_hashes(hashes.ravel(), length, np.arange(len(hashes)) * length)
-        # a bucket may be large (common last words), so its patterns are found by their whole hash
-        self.whole, self.order = np.sort(whole), np.argsort(whole, kind="stable")
+        self.hashes = hashes
+        # patterns by the block at their end, and of one bucket by the block at their start
+        first, last = self._edges(hashes.ravel(), np.arange(len(hashes)) * length + length - 1)
+        self.order = np.lexsort((first, last))
+        last, first = last[self.order], first[self.order]
+        self.buckets, self.bucket_at = np.unique(last, return_index=True)
+        self.bucket_at = np.append(self.bucket_at, len(last))
+        # the pair of blocks, as the number of the bucket and a number that grows with it
+        self.firsts, rank = np.unique(first, return_inverse=True)
+        self.key = np.searchsorted(self.buckets, last) * (len(self.firsts) + 1) + rank
+
+    def _edges(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last block of the windows that end at each word number."""
+        return _blocks(h, ends - self.length + self.width, self.width), _blocks(h, ends, self.width)
 
     def ends(self, h: np.ndarray) -> np.ndarray:
         """Word numbers at which the shift table can't rule out that a pattern ends."""
@@ -73,16 +87,27 @@ class WuManber:
         """(last word, pattern) of every occurrence inside one text."""
         ends = self.ends(h)
         ends = ends[owner[ends] == owner[ends - self.length + 1]]
-        ends = ends[np.isin(_blocks(h, ends, self.width), self.suffix)]
-        if len(ends):
-            whole = window_hashes(h, self.length, ends - self.length + 1)
-            lo, hi = np.searchsorted(self.whole, whole, "left"), np.searchsorted(self.whole, whole, "right")
-            some = hi > lo
-            for end, a, b in zip(ends[some].tolist(), lo[some].tolist(), hi[some].tolist()):
-                text = b" ".join(words.data[words.start[w] : words.end[w]].tobytes() for w in range(end - self.length + 1, end + 1))
-                for k in self.order[a:b].tolist():
-                    if text == self.patterns[k]:
-                        yield end, k
+        if not len(ends):
+            return
+        first, last = self._edges(h, ends)
+        bucket = np.minimum(np.searchsorted(self.buckets, last), len(self.buckets) - 1)
+        rank = np.minimum(np.searchsorted(self.firsts, first), len(self.firsts) - 1)
+        some = (self.buckets[bucket] == last) & (self.firsts[rank] == first)
+        ends, key = ends[some], bucket[some] * (len(self.firsts) + 1) + rank[some]
+        lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+        cuts = np.flatnonzero(np.diff(np.cumsum(hi - lo) // PAIRS_AT_ONCE)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ends)]):
+            part = slice(a, b)
+            n = hi[part] - lo[part]
+            end = np.repeat(ends[part], n)
+            pattern = self.order[np.repeat(lo[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            for word in range(self.length):
+                same = h[end - self.length + 1 + word] == self.hashes[pattern, word]
+                end, pattern = end[same], pattern[same]
+            for e, k in zip(end.tolist(), pattern.tolist()):
+                text = b" ".join(words.data[words.start[w] : words.end[w]].tobytes() for w in range(e - self.length + 1, e + 1))
+                if text == self.patterns[k]:
+                    yield e, k
 
 
 def _pattern_blocks(items: DataFrame, id_col: str, text_col: str, window: int, most: int) -> Iterator[list[WuManber]]:

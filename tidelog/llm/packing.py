@@ -3,19 +3,23 @@
 Each partition packs its pieces by best-fit decreasing and computes a lower bound on its number of
 sequences from dual-feasible functions. A partition that meets its bound is certified. Partitions
 with a gap give up the documents of their sequences that aren't full; these are pooled, dealt
-anew to larger partitions, and packed again, until no gap is left or a round saves nothing.
+anew to larger partitions, and packed again, until no gap is left or a round saves nothing. The
+bound of all lengths together says how far the whole is from the fewest sequences (``certificate``).
 
 Every document is encoded and closed by an end id. Only documents longer than a sequence are cut,
 into whole sequences and a rest. Only lengths travel: a row for each piece, and no ids.
 
 Edge cases: a null or empty text is one piece that holds the end id. Repeated rows and equal ids
-are documents of their own. An empty table packs to nothing. Other columns are ignored.
+are documents of their own. Pieces of one length are interchangeable; ties go by a key of the row.
+An empty table packs to nothing. A very long text is encoded whole, in one task. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 from math import ceil
 
 import numpy as np
@@ -28,9 +32,9 @@ from .common import checkpoint
 from .tokens import SLICE_BYTES, encoder, tokenizer_json
 from .words import text_slices
 
-#: Pieces that a task packs at a time.
+#: Pieces that a task packs at a time; each round doubles them, up to so many times.
 PARTITION_PIECES = 20_000
-ROUNDS = 6
+DOUBLINGS = 6
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -110,7 +114,7 @@ def _pieces(json: str, capacity: int, end_id: int):
 def _pack(capacity: int, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches), _ROWS)
-        part, most = TaskContext.get().partitionId(), 2 * PARTITION_PIECES << turn
+        part, most = TaskContext.get().partitionId(), 2 * PARTITION_PIECES << min(turn, DOUBLINGS)
         for at in range(0, table.num_rows, most):
             own = table.slice(at, most).combine_chunks()
             uid, piece, lengths = (np.asarray(own.column(c)) for c in ("uid", "piece", "length"))
@@ -143,27 +147,41 @@ def _packed(pieces: DataFrame, n: int, capacity: int, turn: int) -> DataFrame:
 def pack_lengths(pieces: DataFrame, capacity: int) -> DataFrame:
     """Sequences for rows of uid, piece, length (at most ``capacity``): adds sequence_id, offset.
 
-    After each round the certified partitions are closed, but for sequences that are not half
-    full; all other documents form the pool that is dealt anew, to partitions twice as large.
+    Rounds go on until the bound of all lengths is met, or until a round saves nothing though every
+    sequence with room was open to it. A round takes up the documents of the sequences that aren't
+    full in partitions with a gap, and elsewhere of those with much room: over a half of the
+    capacity in the first round, a sixteenth of that in each that follows. They are dealt anew, to
+    partitions twice as large.
     """
-    done: list[DataFrame] = []
     best = _packed(pieces, max(1, ceil(pieces.count() / PARTITION_PIECES)), capacity, 0)
-    for turn in range(1, ROUNDS):
-        give = (F.col("gap") > 0) & (F.col("room") > 0) | (F.col("room") > capacity // 2)
-        done.append(best.where(~give))
-        pool = best.where(give)
-        n, used, total = pool.agg(F.count(F.lit(1)), F.sum((F.col("offset") == 0).cast("long")), F.sum("length")).first()
-        best = pool
-        if not n or used <= -(-total // capacity):
+    used, bound = certificate(best, capacity)
+    for turn in count(1):
+        if used <= bound:
             break
-        again = _packed(pool, max(1, ceil(n / (PARTITION_PIECES << turn))), capacity, turn)
-        if again.where("offset = 0").count() >= used:
+        room = capacity >> 4 * turn - 3
+        give = (F.col("gap") > 0) & (F.col("room") > 0) | (F.col("room") > room)
+        pool = best.where(give)
+        n, before = pool.agg(F.count(F.lit(1)), F.sum((F.col("offset") == 0).cast("long"))).first()
+        saved = 0
+        if n:
+            again = _packed(pool, max(1, ceil(n / (PARTITION_PIECES << min(turn, DOUBLINGS)))), capacity, turn)
+            saved = before - again.where("offset = 0").count()
+        if saved > 0:
+            used, best = used - saved, best.where(~give).union(again)
+        elif not room:
             break
-        best = again
-    out = best
-    for more in done:
-        out = out.union(more)
-    return out.select("uid", "piece", "length", "sequence_id", "offset")
+    return best.select("uid", "piece", "length", "sequence_id", "offset")
+
+
+def certificate(packed: DataFrame, capacity: int) -> tuple[int, int]:
+    """The number of sequences in a result of ``pack_documents``, and a lower bound on it for any packing.
+
+    The driver sees one row for each length, so at most ``capacity``.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in packed.groupBy("length").count().collect():
+        counts[length] = n
+    return packed.where("offset = 0").count(), lower_bound(counts, capacity)
 
 
 def pack_documents(

@@ -4,14 +4,17 @@ A listed URL is a host with a path, as host/path, or a whole host, as host/. Eac
 for its canonical URL and one for its host and each domain above it. The filter is a table of
 64-bit blocks; a key sets six bits of one block. Keys that the filter passes go to an exact hash
 join with the list, which removes false positives. Pages meet the hits by canonical URL, so equal
-URLs are looked up once.
+URLs are looked up once; one URL, or none, may stand for a third of all pages, so that join is
+salted. Entries of the list are brought into the form of URLs by the same expressions.
 
 The filter has about 16 bits for each listed URL. It is broadcast if it has at most
 BROADCAST_BLOCKS blocks, else joined by shuffle; the list itself is never broadcast by force.
 
 Edge cases: a null URL, or one without ://, has an empty host and path, fits no rule and no list
-entry, and is allowed. Repeated rows are judged alike. An empty list or table is fine. Null list
-entries are left out. Other columns of the input are ignored.
+entry, and is allowed. Repeated rows are judged alike. An empty list hits nothing, an empty table
+gives none. Null and blank list entries are left out. Of rules of equal length the one with the
+longer host counts, then the later by name. Very long URLs are used whole. Other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import salted, salts
+
 BITS_PER_KEY = 16
 LEAST_BLOCKS = 1024
 SALTS = 32
@@ -63,6 +68,13 @@ def canonical(host: Column, path: Column) -> Column:
     return F.when(host != "", F.concat(plain, F.when(path == "", F.lit("/")).otherwise(path)))
 
 
+def list_key(entry: Column) -> Column:
+    """A list entry as a key: a URL, host/path, or a host alone, which stands for host/."""
+    whole = F.trim(entry)
+    host, path = host_and_path(F.when(whole.contains("://"), whole).otherwise(F.concat(F.lit("//://"), whole)))
+    return F.when(whole != "", canonical(host, path))
+
+
 def _keys(url: Column) -> Column:
     """The canonical URL, and host/ for its host and each domain above."""
     host = F.substring_index(url, "/", 1)
@@ -88,7 +100,7 @@ def bloom_blocks(listed: DataFrame, n_blocks: int, key: str = "key") -> DataFram
 
 def listed_urls(urls: DataFrame, listed: DataFrame, key: str = "key") -> DataFrame:
     """The values of ``urls.url`` (canonical) that the list holds, whole or by host; distinct."""
-    listed = listed.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct()
+    listed = listed.select(list_key(F.col(key).cast("string")).alias("key")).where("key is not null").distinct()
     n_blocks = max(LEAST_BLOCKS, listed.count() * BITS_PER_KEY // 64)
     blocks = bloom_blocks(listed, n_blocks)
     if n_blocks <= BROADCAST_BLOCKS:
@@ -99,8 +111,8 @@ def listed_urls(urls: DataFrame, listed: DataFrame, key: str = "key") -> DataFra
     possible = probes.join(blocks, "block").where(F.col("bits").bitwiseAND(mask) == mask).select("url", "key")
     # each key meets the list once; a host may have a third of all pages, so these are dealt over SALTS tasks
     sure = possible.select("key").distinct().join(listed.hint("shuffle_hash"), "key", "left_semi")
-    sure = sure.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    possible = possible.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)))
+    sure = sure.withColumn("salt", F.explode(salts(SALTS)))
+    possible = possible.withColumn("salt", salted(SALTS, "url"))
     return possible.join(sure, ["key", "salt"], "left_semi").select("url").distinct()
 
 
@@ -117,7 +129,7 @@ def filter_urls(
             "url": canonical(F.col("host"), F.col("path")),
         }
     )
-    hits = listed_urls(df, listed, key).withColumn("listed", F.lit(True))
-    df = df.join(hits, "url", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    hits = listed_urls(df, listed, key).withColumns({"listed": F.lit(True), "salt": F.explode(salts(SALTS))})
+    df = df.withColumn("salt", salted(SALTS, "page_id", "path")).join(hits, ["url", "salt"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     verdict = F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow"))
     return df.select("page_id", "host", "path", "rule", "listed", verdict.alias("verdict"))
