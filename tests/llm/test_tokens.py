@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from tests.llm.brute import thue_morse
@@ -22,6 +23,12 @@ def ids(tokenizer, text, end):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
 
 
+def signed(text):
+    """Spark's xxhash64 of a text."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def crc(x):
     return zlib.crc32(np.array(x, "<u4").tobytes())
 
@@ -64,13 +71,15 @@ def test_chunks_round_trip(planes, n):
 def test_token_files_round_trip(spark, monkeypatch):
     plain = Tokenizer.from_file(BYTE)
     rows = [(k * 3 % 1000, t, "clash", 1) for k, t in enumerate(texts(2))] + [(3, "again", "clash", 1), (None, "no id", "clash", 1)]
+    rows += [(77, f"one id, many texts {k}", "clash", 1) for k in range(200)] + [(77, "twice", "clash", 1)] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, shard string, chunk int").repartition(3)
+    monkeypatch.setattr(bitplane, "SHARD_BYTES", 50_000)
     for planes in ("byte", "bit"):
         path = bitplane.new_folder(spark)
         bitplane.write_tokens(df, path, BYTE, 2, planes)
         got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], r["ids"]) for r in bitplane.read_tokens(spark, path).collect()]
         start, expected = 0, []
-        for i, t in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        for i, t in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]), r[1] or "")):
             x = ids(plain, t, 2)
             expected.append((i, start, len(x), crc(x), x))
             start += len(x)

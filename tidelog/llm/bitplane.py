@@ -8,7 +8,10 @@ executor's chunks are written again, and the columns beside the planes are the c
 chunk, number of ids, document ids and lengths can be read without any plane.
 
 Shards are ranges of document ids in ascending order, with null ids first; equal ids are ordered
-by their texts. Null and empty texts have the end id only. An empty table gives an empty folder.
+by a hash of their texts, then the texts, so that an id of very many rows has several shards.
+Repeated rows are documents of their own. Null and empty texts have the end id only. An empty
+table gives an empty folder. A very long text is encoded whole, in one task, and makes a chunk of
+its own size. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ MAGIC = b"TPL1"
 BLOCK_IDS = 8192
 #: A chunk ends with the document that reaches so many ids.
 CHUNK_IDS = 1 << 18
+#: A shard has about so many bytes of text, or less.
+SHARD_BYTES = 256 << 20
 _HEAD = struct.Struct("<4sBBIQ")
 
 
@@ -134,8 +139,10 @@ def write_tokens(
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    order = F.col("doc_id"), F.xxhash64("text")
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     schema = f"shard int, chunk int, n_ids long, doc_ids array<{id_type}>, lengths array<long>, data binary"
     chunks = rows.mapInArrow(_encode(tokenizer_json(tokenizer), end_id, planes), schema)
     chunks.write.option("compression", "none").option("parquet.block.size", str(32 << 20)).mode("error").parquet(path)

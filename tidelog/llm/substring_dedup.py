@@ -5,7 +5,8 @@ apart. So when the same run of words stands at positions i and j, some shift bel
 i+shift and j+shift at cover positions, and an anchor of ``window - v + 1`` words that starts
 there lies whole inside the run. Anchors are hashed only at cover positions; words whose windows
 hold no repeated anchor need nothing more. Around repeated anchors every full window is hashed
-with 96 bits and looked up (the extension).
+with 95 bits and looked up: the extension. It runs on hashes, since the other place of a window is
+in another task; words and windows are hashed without polynomials (see ``words``).
 
 Plan: the texts are shuffled once by a hash of id and text and that exchange serves all three passes.
 Copies of a whole text are found by a 128-bit hash first; one copy stands for its group. Each
@@ -14,7 +15,8 @@ documents hold arrives as one row for each task and not as one row for each docu
 
 Edge cases: a null or empty text has no words and loses none; ``kept_sha256`` is then the hash of
 the empty string. Repeated rows are copies of each other. Windows never cross documents. Documents
-shorter than a window lose nothing. Other columns of the input are ignored.
+shorter than a window lose nothing. An empty table gives none. A very long text is hashed whole, in
+one task. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
