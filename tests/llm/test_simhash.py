@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 from tests.llm.brute import simhash_groups, words_of
+from tidelog.llm import simhash
 from tidelog.llm.simhash import block_masks, keep_one_of_each, near_duplicates
 
 
@@ -96,3 +99,46 @@ def test_links_by_exact_similarity(spark):
         stays |= {2 * g} if g % 2 else {2 * g, 2 * g + 1}
     kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"] for r in kept.collect()} == stays
+
+
+def jaccard_groups(rows, size=5):
+    """The least id of each component over links of similarity 0.8, pair by pair."""
+    sets = [{tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} for w in (words_of(t) for _, t in rows)]
+    top = list(range(len(rows)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            if 1.8 * len(sets[x] & sets[y]) >= 0.8 * (len(sets[x]) + len(sets[y])) - 1e-9:
+                a, b = sorted((find(x), find(y)))
+                top[b] = a
+    return {rows[find(x)][0] for x in range(len(rows))}
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(300)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for n in range(rng.choice((1, 2, 4, 5, 6, 8, 12))):  # each change makes five shingles its own
+            w[rng.randrange(300)] = f"own{k}x{n}"
+        rows.append((k, " ".join(w)))
+    kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == jaccard_groups(rows)
+
+
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(9)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) for n in (0, 1, 50, 200, 3000)]
+    sets += [np.unique(np.concatenate((s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, len(s) // 10, dtype=np.uint64)))) for s in sets]
+    bits = simhash.sketches(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))).view(np.uint64)
+    for x, u in zip(sets, bits):
+        for y, v in zip(sets, bits):
+            lacks = int(np.bitwise_count(u & ~v).sum())
+            assert len(np.intersect1d(x, y)) <= len(np.unique(x)) - lacks

@@ -5,9 +5,9 @@ cut into blocks; two that differ in at most d of the bits agree in all but d blo
 every choice of the other blocks finds each close pair, and the Hamming distance is then checked.
 
 Only distinct fingerprints are joined: copies meet in a pre-aggregated grouping. Inside a join
-bucket each fingerprint is first linked to the bucket's least one; the components of these links
+bucket each fingerprint is first compared with a few of the bucket; the components of these links
 are contracted, and only pairs of different components are joined after that. So a dense group
-gives a star and not all its pairs, yet no link between components is missed.
+gives stars and not all its pairs, yet no link between components is missed.
 
 Edge cases: a null text has no words; its fingerprint is zero and links like any other. With fewer
 words than a shingle, the whole sequence is the shingle. Repeated rows share a component. A null
@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import carried, checkpoint, connected_components, field, restored, salted, salts
@@ -121,24 +121,36 @@ def block_masks(distance: int, spare: int) -> list[int]:
 SALTS = 8
 
 
+#: Members of a bucket that all others are compared with before components are made.
+PIVOTS = 2
+
+
 def _in_buckets(keyed: DataFrame, *columns: str) -> DataFrame:
-    """Rows of ``keyed`` (bucket, node and ``columns``) whose bucket has several, with the bucket's least as ``least``.
+    """Rows of ``keyed`` (bucket, node and ``columns``) whose bucket has several, with how many, ``n``, and ``pivots``.
 
-    Buckets are summed in each task first; a bucket's rows then meet its least in SALTS tasks.
+    Pivots are the least node of each of PIVOTS classes, summed in each task first; a bucket's rows
+    then meet them in SALTS tasks.
     """
-    least = F.min(F.struct("node", *columns)).alias("least")
-    buckets = keyed.groupBy("bucket").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    entry = F.struct("node", *columns)
+    least = [F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == k, entry)) for k in range(PIVOTS)]
+    buckets = keyed.groupBy("bucket").agg(F.array_compact(F.array(*least)).alias("pivots"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = buckets.withColumn("salt", F.explode(salts(SALTS)))
     return checkpoint(keyed.withColumn("salt", salted(SALTS, "node")).join(buckets, ["bucket", "salt"]).drop("salt"))
 
 
+def _to_pivots(shared: DataFrame) -> DataFrame:
+    """Each member of a bucket with each pivot, once for two that are both pivots: its columns and ``pivot``."""
+    each = shared.withColumns({"pivot": F.explode("pivots"), "is_pivot": F.array_contains("pivots.node", F.col("node"))})
+    return each.where((F.col("node") > F.col("pivot.node")) | (F.col("node") != F.col("pivot.node")) & ~F.col("is_pivot"))
+
+
 def _across(shared: DataFrame, near: DataFrame) -> DataFrame:
     """Pairs a, b of members of one bucket whose components (node, c1) differ, smaller component first.
 
     Every member counts, since any may link two components. One side is dealt over SALTS tasks,
     and the other goes to each of them.
     """
-    labelled = shared.drop("least").join(near, "node", "left").withColumn("c1", F.coalesce("c1", "node"))
+    labelled = shared.drop("pivots").join(near, "node", "left").withColumn("c1", F.coalesce("c1", "node"))
     # buckets that lie in one component have nothing more to compare
     open_ = labelled.groupBy("bucket").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo < hi")
     open_ = open_.select("bucket", F.explode(salts(SALTS)).alias("salt"))
@@ -162,8 +174,8 @@ def _close_components(keyed: DataFrame, distance: int) -> DataFrame:
     """
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
     shared = _in_buckets(keyed)
-    star = shared.where((F.col("node") > F.col("least.node")) & close("node", "least.node"))
-    star = star.select(F.col("node").alias("x"), F.col("least.node").alias("y"))
+    star = _to_pivots(shared).where(close("node", "pivot.node"))
+    star = star.select(F.col("node").alias("x"), F.col("pivot.node").alias("y"))
     near = checkpoint(connected_components(star, "x", "y").select("node", F.col("component").alias("c1")))
     links = _across(shared, near).where(close("a.node", "b.node")).select(F.col("a.c1").alias("cx"), F.col("b.c1").alias("cy"))
     return _together(near, links)
@@ -225,16 +237,42 @@ def _bands(size: int):
     return run
 
 
+#: Bits of a sketch of a set, 64 to a number.
+SKETCH_BITS = 1024
+_SKETCH = [f"k{n}" for n in range(SKETCH_BITS // 64)]
+
+
+def sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each range of hashes a row of SKETCH_BITS bits, as numbers of 64: those that some hash's first bits name."""
+    n, shift = len(bounds) - 1, np.uint64(64 - SKETCH_BITS.bit_length() + 1)
+    marks = np.zeros((n, SKETCH_BITS), bool)
+    marks[np.repeat(np.arange(n), np.diff(bounds)), (hashes >> shift).astype(np.int64)] = True
+    return np.packbits(marks, axis=1, bitorder="little").view(np.int64)
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch):
                 hashes, bounds = _shingles(texts, size, distinct=True)
-                yield pa.record_batch({"node": part.column("node"), "shingles": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))})
+                out = {"node": part.column("node"), "shingles": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))}
+                yield pa.record_batch(out | {k: pa.array(column) for k, column in zip(_SKETCH, sketches(hashes, bounds).T)})
 
     return run
 
 
+def _may_be_similar() -> Column:
+    """Whether the sketches of a and b leave it open that their sets have the similarity to link; true without sketches.
+
+    Each bit that only one of the sketches has stands for a shingle that only this set has, or for
+    several, so the sets have at most the rest in common. No pair that links is ruled out.
+    """
+    bits = lambda x: [F.col(f"{x}.{k}") for k in _SKETCH]
+    lacks = lambda x, y: sum((F.bit_count(u.bitwiseAND(F.bitwise_not(v))) for u, v in zip(bits(x), bits(y))), F.lit(0))
+    most = F.least(F.col("a.size") - lacks("a", "b"), F.col("b.size") - lacks("b", "a"))
+    return F.coalesce((100 + SIMILAR) * most >= SIMILAR * (F.col("a.size") + F.col("b.size")), F.lit(True))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y, ...) of nodes whose sets of shingles have the similarity to link.
 
@@ -248,11 +286,16 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.where((100 + SIMILAR) * both >= SIMILAR * (F.size("sx") + F.size("sy"))).drop("sx", "sy", "salt")
 
 
+#: Members of buckets with more than so many are compared by their sketches first.
+CROWD = 32
+
+
 def _linked(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Components of the nodes (node, size, keys, doc_id, t1, t2) over links of SIMILAR; columns (node, component).
 
-    As with fingerprints, nodes are first compared with the least of each bucket, the components
-    of these links are contracted, and then only nodes of different components are compared. The
+    As with fingerprints, nodes are first compared with the pivots of each bucket, the components
+    of these links are contracted, and then only nodes of different components are compared, in
+    crowded buckets only those whose sketches leave a link open. The
     shingles of the nodes that share a bucket are made once, from the text of (doc_id, t1, t2).
     """
     shared = _in_buckets(nodes.select("node", "size", F.explode("keys").alias("bucket")), "size")
@@ -261,15 +304,17 @@ def _linked(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     sources = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("kid"), F.col("t1").alias("k1"), F.col("t2").alias("k2"))
     match = F.col("doc_id").eqNullSafe(F.col("kid")) & (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))
     chosen = texts.join(sources.hint("shuffle_hash"), match)
-    sets = chosen.select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>")
+    sets = chosen.select("node", "text").mapInArrow(_sets(shingle), ", ".join(["node long, shingles array<long>", *(f"{k} long" for k in _SKETCH)]))
     # repeated rows give equal sets
-    sets = checkpoint(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
-    star = shared.where((F.col("node") > F.col("least.node")) & fits("size", "least.size"))
-    star = _similar(star.select(F.col("node").alias("x"), F.col("least.node").alias("y")).distinct(), sets)
+    sets = checkpoint(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("shingles", *_SKETCH))))
+    star = _to_pivots(shared).where(fits("size", "pivot.size"))
+    star = _similar(star.select(F.col("node").alias("x"), F.col("pivot.node").alias("y")).distinct(), sets)
     near = checkpoint(connected_components(star, "x", "y").select("node", F.col("component").alias("c1")))
-    across = _across(shared, near).where(fits("a.size", "b.size"))
-    across = across.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.c1").alias("cx"), F.col("b.c1").alias("cy")).distinct()
-    return _together(near, _similar(across, sets))
+    crowded = shared.where(F.col("n") > CROWD).join(sets.select("node", *_SKETCH), "node")
+    rest = shared.where(F.col("n") <= CROWD).withColumns({k: F.lit(None).cast("long") for k in _SKETCH})
+    across = _across(crowded.unionByName(rest), near).where(fits("a.size", "b.size") & _may_be_similar())
+    across = across.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.c1").alias("cx"), F.col("b.c1").alias("cy"))
+    return _together(near, _similar(checkpoint(across.distinct()), sets))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
