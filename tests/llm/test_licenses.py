@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 from tests.llm.brute import alnum_words
@@ -10,15 +11,19 @@ PROSE = "Some words that are about nothing at all\nand go on for a while in line
 
 
 def plain(docs):
-    """TF-IDF cosine of every line, paragraph and whole text to every template."""
+    """TF-IDF cosine of every line, sentence, paragraph and whole text to every template."""
     words = {w for _, t in KNOWN for w in alnum_words(t)}
-    df = Counter(w for _, t in docs for w in set(alnum_words(t)) & words)
-    idf = {w: math.log((len(docs) + 1) / (df[w] + 1)) + 1 for w in words}
-    other = math.log(len(docs) + 1) + 1
+    df = Counter(w for _, t in docs for w in set(alnum_words(t)))
+    weight = lambda w: math.log((len(docs) + 1) / (df[w] + 1)) + 1
+    idf = {w: weight(w) for w in words}
+    others = [w for w in df if w not in words]
+    other = sum(df[w] * weight(w) for w in others) / sum(df[w] for w in others)
     out = []
     for _, text in docs:
         matches = []
-        for u in [*(text or "").split("\n"), *(text or "").split("\n\n"), text or ""]:
+        paragraphs = (text or "").split("\n\n")
+        sentences = [s for p in paragraphs for s in re.split(r"[.!?](?=[ \t-\r])", p)]
+        for u in [*(text or "").split("\n"), *sentences, *paragraphs, text or ""]:
             c = Counter(alnum_words(u))
             norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items() if w in words) + other**2 * sum(n for w, n in c.items() if w not in words))
             cosines = []
@@ -113,3 +118,24 @@ def test_order_in_a_text_decides_nothing(spark):
     docs += [(10_000 + k, None, f"{b}\n\n{a}", "") for k, (a, b) in enumerate(pairs)]
     got = result(spark, docs)
     assert all(got[k][0] == got[10_000 + k][0] for k in range(len(pairs)))
+
+
+HELD = [("Copyright (c) 2023 Acme Corporation. All rights reserved.", "LicenseRef-proprietary"), ("Copyright (c) 2021 Jane Doe. Released under the MIT License.", "MIT")]
+
+
+def test_holders_and_years_beside_a_notice(spark):
+    got = result(spark, [(k, None, t, "") for k, (t, _) in enumerate(HELD)] + [(100 + k, None, PROSE, "") for k in range(50)])
+    assert [got[k][0] for k in range(len(HELD))] == [name for _, name in HELD]
+    assert all(got[100 + k][0] is None for k in range(50))
+
+
+def test_the_number_of_documents_decides_nothing(spark):
+    texts = [t for t, _ in HELD] + ["Released under the MIT License by Jane", "the GNU Lesser General Public License, version 3, for this file", PROSE, "All rights reserved by Acme"]
+    scanned = []
+    for times in (50, 2000):
+        rows = [(k, None, t, "") for k, t in enumerate(texts * times)]
+        df = spark.createDataFrame(rows, "doc_id long, path string, text string, license string")
+        scanned.append({r["doc_id"]: (r["license"], r["similarity"]) for r in scan_licenses(df, threshold=0.5).where(f"doc_id < {len(texts)}").collect()})
+    assert all(scanned[0][k][0] == scanned[1][k][0] for k in range(len(texts)))
+    assert any(x[0] for x in scanned[0].values())
+    assert all(abs((scanned[0][k][1] or 0) - (scanned[1][k][1] or 0)) < 0.01 for k in scanned[0])

@@ -1,16 +1,19 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from ancestor directories.
 
-Units of a text are its lines, its paragraphs, and the whole of it. A unit's vector holds the
-counts of the words that templates use, weighted by inverse document frequency over the whole
-corpus; all other words count, each with the weight of a word in no document, in the unit's
-length only. A unit's license is that of the template of best cosine, if it reaches the threshold.
+Units of a text are its lines, its sentences, its paragraphs, and the whole of it; sentences part
+a notice from the holder and year before it. A unit's vector holds the counts of the words that
+templates use, weighted by inverse document frequency over the whole corpus. All other words count
+in the unit's length only, each with the mean weight of such a word in a document: that mean is
+taken over all words of all documents and doesn't grow with their number, as the weight of a rare
+word would. A unit's license is that of the template of best cosine, if it reaches the threshold.
 Of a text's units the one whose template has the most words counts, since whole conditions tell
-more than the first line that several licenses share; then the better cosine. A text of which the matching unit is at least half is a license file; it covers
-its directory. Files without a license of their own inherit from the nearest directory above
-that has one.
+more than the first line that several licenses share; then the better cosine. A text of which the
+matching unit is at least half is a license file; it covers its directory. Files without a license
+of their own inherit from the nearest directory above that has one.
 
-Plan: two scans of the texts. Document frequencies come back as one row for each template word
-(their number is that of the templates' words, whatever the corpus). Directories are resolved
+Plan: two scans of the texts. Document frequencies are summed in each slice of texts, then in each
+task, and come back as one row for each template word and one for all others (as many as the
+templates have words, whatever the corpus). Directories are resolved
 once each, by joins on their ancestors, and not once for each file. All directories have the root
 above them, and one may hold a third of all files; the joins on both are salted.
 
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, salted, salts
-from .words import ALNUM, Words, text_slices
+from .words import ALNUM, Words, mix, text_slices
 
 #: Short forms of common notices, by license; fixed values.
 TEMPLATES = (
@@ -118,6 +121,9 @@ THRESHOLD = 0.8
 #: Cosines that agree so far are equal: sums of floats differ behind it by their order.
 TIE_DIGITS = 9
 SALTS = 32
+#: What ends a sentence, if a blank follows.
+_STOPS = np.frombuffer(b".!?", np.uint8)
+_BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
 
 
 class Vocabulary:
@@ -143,28 +149,41 @@ class Vocabulary:
         return np.where(self.words[at] == hashes, at, -1)
 
 
+#: In place of a template word's number: a row that counts documents, and one for another word.
+DOCUMENTS, OTHER = -1, -2
+
+
 def _frequencies(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(vocabulary.words), np.int64), 0
         for batch in batches:
             for _, texts in text_slices(batch):
                 words = Words(texts, ALNUM, lower=True)
-                number = vocabulary.find(words.hashes()) if len(words) else np.zeros(0, np.int64)
-                own = np.unique(words.text_of()[number >= 0] * len(total) + number[number >= 0])
-                total += np.bincount(own % len(total), minlength=len(total))
-                n += len(texts)
-        yield pa.record_batch({"word": pa.array(np.arange(-1, len(total)).astype(np.int32)), "n": pa.array(np.concatenate(([n], total)))})
+                hashes = words.hashes() if len(words) else np.zeros(0, np.uint64)
+                # each word of a text once: equal keys are equal words of one text
+                key = mix(hashes ^ mix(words.text_of().astype(np.uint64) + np.uint64(1))) if len(words) else hashes
+                order = np.argsort(key)
+                new = np.ones(len(key), bool)
+                new[1:] = key[order][1:] != key[order][:-1]
+                own, count = np.unique(hashes[order[new]], return_counts=True)
+                number = vocabulary.find(own)
+                word = np.concatenate(([DOCUMENTS], np.where(number >= 0, number, OTHER)))
+                other = np.concatenate((np.zeros(1, np.int64), np.where(number >= 0, np.uint64(0), own).view(np.int64)))
+                yield pa.record_batch(
+                    {"word": pa.array(word.astype(np.int32)), "other": pa.array(other), "n": pa.array(np.concatenate(([len(texts)], count)).astype(np.int64))}
+                )
 
     return run
 
 
 def weights(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, float]:
-    """The inverse document frequency of each template word, and that of a word in no document."""
-    rows = docs.select("text").mapInArrow(_frequencies(vocabulary), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    count = dict.fromkeys(range(-1, len(vocabulary.words)), 0) | {r["word"]: r["n"] for r in rows}
-    n = count.pop(-1)
-    df = np.array([count[k] for k in range(len(vocabulary.words))])
-    return np.log((n + 1) / (df + 1)) + 1, float(np.log(n + 1) + 1)
+    """The inverse document frequency of each template word, and the mean one of the other words of all documents."""
+    counts = docs.select("text").mapInArrow(_frequencies(vocabulary), "word int, other long, n long").groupBy("word", "other").agg(F.sum("n").alias("n"))
+    rows = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log1p("n")).alias("logs")).collect()
+    count = {r["word"]: r for r in rows}
+    n = count[DOCUMENTS]["n"] if DOCUMENTS in count else 0
+    df = np.array([count[k]["n"] if k in count else 0 for k in range(len(vocabulary.words))])
+    common = count[OTHER]["logs"] / count[OTHER]["n"] if OTHER in count else 0.0
+    return np.log((n + 1) / (df + 1)) + 1, round(float(np.log(n + 1) + 1 - common), TIE_DIGITS)
 
 
 def _match(vocabulary: Vocabulary, idf: np.ndarray, other: float, threshold: float):
@@ -213,7 +232,10 @@ def _match(vocabulary: Vocabulary, idf: np.ndarray, other: float, threshold: flo
                     blank = np.flatnonzero((words.data[:-1] == 0x0A) & (words.data[1:] == 0x0A))
                     cuts = np.concatenate((blank, words.text_start[1:] - 1))
                     cuts.sort()
-                    for unit in (line, np.searchsorted(cuts, words.start), owner):
+                    stops = np.flatnonzero(np.isin(words.data[:-1], _STOPS) & _BLANK[words.data[1:]])
+                    stops = np.concatenate((stops, cuts))
+                    stops.sort()
+                    for unit in (line, np.searchsorted(stops, words.start), np.searchsorted(cuts, words.start), owner):
                         size = np.bincount(unit)
                         first = np.searchsorted(unit, np.arange(len(size)))
                         for u, n, cosine, name in units(words, unit, numbers):
