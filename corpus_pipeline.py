@@ -22,8 +22,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least id stays."""
-    return simhash.keep_one_of_each(docs, shingle=5)
+    """Of each group of near-duplicates the document of least id stays.
+
+    Candidates come by op8's fingerprints, blocks and Hamming check, and by bands for what differs
+    in more bits.
+    """
+    return simhash.keep_one_of_each(docs, shingle=5, distance=3, spare=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,6 +101,42 @@ def test_links_by_exact_similarity(spark):
     assert {r["doc_id"] for r in kept.collect()} == stays
 
 
+def test_blocks_give_candidates_that_share_no_band(spark):
+    # eight of nine shingles in common, fingerprints of the sets within three bits, no band alike
+    starts = [
+        "w78 w322 w914 w1085 w2161 w1358 w1606 w319 w415 w974 w2882 w1375 w1221",
+        "w1046 w2002 w1259 w484 w780 w2297 w612 w1243 w280 w2242 w2825 w2212 w1568",
+        "w2796 w381 w989 w2244 w1406 w1171 w2149 w1881 w2603 w917 w1946 w1522 w1320",
+    ]
+    rows = [t for k, s in enumerate(starts) for t in ((2 * k, s), (2 * k + 1, s.rsplit(" ", 1)[0] + " x"))]
+    hashes, bounds = simhash._shingles([t.encode() for _, t in rows], 5, distinct=True)
+    keys, prints = simhash.band_keys(hashes, bounds), simhash._majority(hashes, bounds)
+    assert not (keys[::2] == keys[1::2]).any() and (np.bitwise_count(prints[::2] ^ prints[1::2]) <= 3).all()
+    kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == jaccard_groups(rows) == {0, 2, 4}
+
+
+def test_similarity_decides_on_close_fingerprints(spark):
+    # fingerprints of the sets within three bits, similarity 5/7
+    pairs = close_but_unlike()
+    assert len(pairs) == 3
+    rows = [(k, t) for k, t in enumerate(t for pair in pairs for t in pair)]
+    kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(6))
+
+
+def close_but_unlike():
+    """Three pairs of texts that differ in one of their six shingles and whose fingerprints differ in three bits or fewer."""
+    rng, out = random.Random(12), []
+    while len(out) < 3:
+        starts = [[f"w{rng.randrange(3000)}" for _ in range(9)] for _ in range(4000)]
+        texts = [" ".join(w) for s in starts for w in ([*s, "x"], [*s, "y"])]
+        prints = simhash._majority(*simhash._shingles([t.encode() for t in texts], 5, distinct=True))
+        close = np.flatnonzero(np.bitwise_count(prints[::2] ^ prints[1::2]) <= 3)
+        out += [(texts[2 * k], texts[2 * k + 1]) for k in close.tolist()]
+    return out[:3]
+
+
 def jaccard_groups(rows, size=5):
     """The least id of each component over links of similarity 0.8, pair by pair."""
     sets = [{tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} for w in (words_of(t) for _, t in rows)]

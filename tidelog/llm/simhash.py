@@ -117,6 +117,16 @@ def block_masks(distance: int, spare: int) -> list[int]:
     return [_signed(sum(choice)) for choice in combinations(blocks, spare)]
 
 
+def _tables(distance: int, spare: int) -> Column:
+    """A row for each choice of blocks: its number t and the bits k of ``fp`` in them."""
+    return F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(distance, spare)])).alias("t", "k")
+
+
+def _close(a: str, b: str, distance: int) -> Column:
+    """The Hamming check of two fingerprints."""
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+
+
 #: Tasks among which the members of one bucket are dealt.
 SALTS = 8
 
@@ -172,12 +182,11 @@ def _close_components(keyed: DataFrame, distance: int) -> DataFrame:
 
     Nodes without a link are left out.
     """
-    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
     shared = _in_buckets(keyed)
-    star = _to_pivots(shared).where(close("node", "pivot.node"))
+    star = _to_pivots(shared).where(_close("node", "pivot.node", distance))
     star = star.select(F.col("node").alias("x"), F.col("pivot.node").alias("y"))
     near = checkpoint(connected_components(star, "x", "y").select("node", F.col("component").alias("c1")))
-    links = _across(shared, near).where(close("a.node", "b.node")).select(F.col("a.c1").alias("cx"), F.col("b.c1").alias("cy"))
+    links = _across(shared, near).where(_close("a.node", "b.node", distance)).select(F.col("a.c1").alias("cx"), F.col("b.c1").alias("cy"))
     return _together(near, links)
 
 
@@ -190,8 +199,7 @@ def near_duplicates(
     """
     prints = checkpoint(fingerprints(docs, shingle, id_col, text_col))
     ids = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(distance, spare)])).alias("t", "k")
-    keyed = ids.select(F.col("fp").alias("node"), tables).select("node", F.xxhash64("t", "k").alias("bucket"))
+    keyed = ids.select(F.col("fp").alias("node"), _tables(distance, spare)).select("node", F.xxhash64("t", "k").alias("bucket"))
     linked = checkpoint(_close_components(keyed, distance).withColumnRenamed("node", "fp"))
     labels = ids.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labels.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -230,6 +238,7 @@ def _bands(size: int):
                 out = {n: part.column(n) for n in ("doc_id", "t1", "t2")}
                 out["node"] = pa.array(np.array(node, np.uint64).view(np.int64))
                 out["size"] = pa.array(np.diff(bounds))
+                out["fp"] = pa.array(_majority(hashes, bounds).view(np.int64))
                 flat = band_keys(hashes, bounds).view(np.int64).ravel()
                 out["keys"] = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * BANDS, pa.int32()), pa.array(flat))
                 yield pa.record_batch(out)
@@ -290,15 +299,22 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 CROWD = 32
 
 
-def _linked(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Components of the nodes (node, size, keys, doc_id, t1, t2) over links of SIMILAR; columns (node, component).
+def _linked(nodes: DataFrame, texts: DataFrame, shingle: int, distance: int, spare: int) -> DataFrame:
+    """Components of the nodes (node, size, fp, keys, doc_id, t1, t2) over links of SIMILAR; columns (node, component).
 
-    As with fingerprints, nodes are first compared with the pivots of each bucket, the components
-    of these links are contracted, and then only nodes of different components are compared, in
-    crowded buckets only those whose sketches leave a link open. The
+    Buckets are the fingerprints' block tables, whose pairs pass the Hamming check, and the bands.
+    As in ``near_duplicates``, nodes are first compared with the pivots of each bucket, the
+    components of these links are contracted, and then only nodes of different components are
+    compared, in crowded buckets only those whose sketches leave a link open. The
     shingles of the nodes that share a bucket are made once, from the text of (doc_id, t1, t2).
     """
-    shared = _in_buckets(nodes.select("node", "size", F.explode("keys").alias("bucket")), "size")
+    # sets without shingles have one node
+    by_blocks = nodes.where("size > 0").select("node", "size", "fp", _tables(distance, spare))
+    by_blocks = by_blocks.select("node", "size", "fp", F.xxhash64("t", "k").alias("bucket"))
+    by_bands = nodes.select("node", "size", F.lit(None).cast("long").alias("fp"), F.explode("keys").alias("bucket"))
+    shared = _in_buckets(by_blocks.unionByName(by_bands), "size", "fp")
+    # members of a band have no fingerprint there
+    close = lambda a, b: F.coalesce(_close(a, b, distance), F.lit(True))
     # sets of such sizes can't be similar enough
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * SIMILAR) & (F.col(b) * 100 >= F.col(a) * SIMILAR)
     sources = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("kid"), F.col("t1").alias("k1"), F.col("t2").alias("k2"))
@@ -307,35 +323,38 @@ def _linked(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     sets = chosen.select("node", "text").mapInArrow(_sets(shingle), ", ".join(["node long, shingles array<long>", *(f"{k} long" for k in _SKETCH)]))
     # repeated rows give equal sets
     sets = checkpoint(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("shingles", *_SKETCH))))
-    star = _to_pivots(shared).where(fits("size", "pivot.size"))
+    star = _to_pivots(shared).where(fits("size", "pivot.size") & close("fp", "pivot.fp"))
     star = _similar(star.select(F.col("node").alias("x"), F.col("pivot.node").alias("y")).distinct(), sets)
     near = checkpoint(connected_components(star, "x", "y").select("node", F.col("component").alias("c1")))
     crowded = shared.where(F.col("n") > CROWD).join(sets.select("node", *_SKETCH), "node")
     rest = shared.where(F.col("n") <= CROWD).withColumns({k: F.lit(None).cast("long") for k in _SKETCH})
-    across = _across(crowded.unionByName(rest), near).where(fits("a.size", "b.size") & _may_be_similar())
+    across = _across(crowded.unionByName(rest), near).where(fits("a.size", "b.size") & close("a.fp", "b.fp") & _may_be_similar())
     across = across.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.c1").alias("cx"), F.col("b.c1").alias("cy"))
     return _together(near, _similar(checkpoint(across.distinct()), sets))
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(
+    docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, spare: int = 3
+) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row of least id stays.
 
     Two texts link when their sets of shingles have a similarity of SIMILAR hundredths or more.
-    Candidates agree in a band of least shingle hashes; the similarity of their hashes decides.
-    SimHash serves that badly: by its bits' mean distance over 230 tables of 24-bit keys would be
-    needed to find 0.99 of the pairs at 0.8, and those agree by chance. Of equal rows one stays; a null id stays only if no row of
-    its component has an id.
+    Candidates are, as in ``near_duplicates``, those whose fingerprints (here of the sets) agree in
+    ``spare`` blocks and differ in at most ``distance`` bits. At a similarity of 0.8 some ten bits
+    differ, more than that check allows, so texts that agree in a band of least shingle hashes are
+    candidates too. The similarity of the candidates' hashes decides. Of equal rows one
+    stays; a null id stays only if no row of its component has an id.
     """
     text = field(docs, text_col).cast("string")
     hashes = F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(7)).alias("t2")
     named = carried(docs).select("row", field(docs, id_col).alias("doc_id"), *hashes)
     rows = carried(docs).select(field(docs, id_col).alias("doc_id"), text.alias("text"), *hashes)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    prints = checkpoint(rows.mapInArrow(_bands(shingle), f"doc_id {id_type}, t1 long, t2 long, node long, size long, keys array<long>"))
+    prints = checkpoint(rows.mapInArrow(_bands(shingle), f"doc_id {id_type}, t1 long, t2 long, node long, size long, fp long, keys array<long>"))
     source = F.min_by(F.struct("doc_id", "t1", "t2"), F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")).alias("source")
-    nodes = prints.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), source)
-    nodes = checkpoint(nodes.select("node", "size", "keys", "source.*"))
-    linked = _linked(nodes, rows, shingle)
+    nodes = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "fp", "keys")), source)
+    nodes = checkpoint(nodes.select("node", "size", "fp", "keys", "source.*"))
+    linked = _linked(nodes, rows, shingle, distance, spare)
     copies = prints.groupBy("node", "doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
     copies = copies.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")
